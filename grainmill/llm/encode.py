@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm.lexicon import MAX_WORD, Lexicon, Merger, compile_lexicon
-from grainmill.llm.pretokens import class_table, span_hashes, text_slices, word_starts
+from grainmill.llm.pretokens import class_table, distinct_spans, span_hashes, text_slices, word_starts
 from grainmill.sources.shared import put_bytes
 
 LEXICON_WORDS = 1 << 16  #: Most words in a lexicon: bounds the model's file (some 20 MB) and what the driver holds.
@@ -99,32 +99,45 @@ class Encoder:
         self.lex, self.merge = _lexicon(name), Merger.of(ranks)
 
     def words(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, first id, number of ids) of each word."""
-        index = self.lex.find(data, at, end)
+        """(flat ids, first id, number of ids) of each word; equal words are looked up and merged once."""
+        one, inv = distinct_spans(data, at, end)
+        a, e = at[one], end[one]
+        index = self.lex.find(data, a, e)
         ids, off = self.lex.a["ids"], self.lex.a["at"]
         seen = index >= 0
-        lo, n = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        lo, n = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
         lo[seen], n[seen] = off[index[seen]], off[index[seen] + 1] - off[index[seen]]
         rest = np.flatnonzero(~seen)
         if len(rest):
-            raw = data.tobytes()
-            new: dict[bytes, tuple[int, int]] = {}
-            extra: list[int] = []
-            base = len(ids)
-            a, e = at[rest].tolist(), end[rest].tolist()
-            got = []
-            for i, j in zip(a, e):
-                w = raw[i:j]
-                x = new.get(w)
-                if x is None:
-                    y = self.merge.ids(w)
-                    x = new[w] = (base + len(extra), len(y))
-                    extra += y
-                got.append(x)
-            got = np.array(got, np.int64)
-            lo[rest], n[rest] = got[:, 0], got[:, 1]
-            ids = np.concatenate([ids, np.array(extra, np.int32)])
-        return ids, lo, n
+            raw, merge = data.tobytes(), self.merge.ids
+            new = [merge(raw[i:j]) for i, j in zip(a[rest].tolist(), e[rest].tolist())]
+            n[rest] = [len(x) for x in new]
+            lo[rest] = len(ids) + np.cumsum(n[rest]) - n[rest]
+            ids = np.concatenate([ids, np.array([t for x in new for t in x], np.int32)])
+        return ids, lo[inv], n[inv]
+
+
+class WordSizes:
+    """Tokens of each word by exact merging alone, equal words once; ``kept`` words are remembered over batches."""
+
+    def __init__(self, ranks: str, kept: int = 300_000):
+        self.merge, self.kept, self.memo = Merger.of(ranks), kept, {}
+
+    def of(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        one, inv = distinct_spans(data, at, end)
+        raw, memo, merge = data.tobytes(), self.memo, self.merge.ids
+        if len(memo) > self.kept:
+            memo.clear()
+        out = np.empty(len(one), np.int64)
+        for k, (i, j) in enumerate(zip(at[one].tolist(), end[one].tolist())):
+            w = raw[i:j]
+            n = memo.get(w)
+            if n is None:
+                n = len(merge(w))
+                if len(w) <= MAX_WORD:
+                    memo[w] = n
+            out[k] = n
+        return out[inv]
 
 
 def spread(flat: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -153,17 +166,15 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
     return src.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, ids array<int>")
 
 
-def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str | None = None, lexicon: str | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str | None = None) -> DataFrame:
     """``key`` and tokens BIGINT of each row; NULL and empty texts have 0."""
     ranks = ranks or default_ranks()
-    name = lexicon or build_lexicon(docs, text, ranks)
 
     def run(batches):
-        enc = Encoder(name, ranks)
+        sizes, classes = WordSizes(ranks), _classes()
         for b in batches:
-            for i, j, data, at, end, per_row in batch_words(b.column(1), enc.lex.classes):
-                _, _, n = enc.words(data, at, end)
-                tokens = np.concatenate([[0], np.cumsum(n)])
+            for i, j, data, at, end, per_row in batch_words(b.column(1), classes):
+                tokens = np.concatenate([[0], np.cumsum(sizes.of(data, at, end))])
                 rows = np.concatenate([[0], np.cumsum(per_row)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(tokens[rows]), pa.int64())], [key, "tokens"])
 

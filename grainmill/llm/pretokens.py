@@ -92,11 +92,17 @@ _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_B), -1, 1 << 64))
 
 
+_MADE: dict[int, np.ndarray] = {}
+
+
 def _powers(b: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, b, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+    have = _MADE.get(int(b))
+    if have is None or len(have) < n:
+        out = np.full(max(n, 1 << 21), b, np.uint64)
+        out[0] = 1
+        with np.errstate(over="ignore"):
+            have = _MADE[int(b)] = np.multiply.accumulate(out)
+    return have[:n]
 
 
 def span_hashes(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -110,6 +116,39 @@ def span_hashes(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray
         return h * np.uint64(0xBF58476D1CE4E5B9) + (end - at).astype(np.uint64)
 
 
+def distinct_spans(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first occurrence of each distinct word, the distinct word of each word).
+
+    Words are grouped by hash and then compared byte by byte, eight at a time, so that a collision only costs a group of its own.
+    """
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, inv = np.unique(span_hashes(data, at, end), return_index=True, return_inverse=True)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    rep = first[inv]
+    other = rep != np.arange(len(at))
+    live = np.flatnonzero(other)
+    size = end - at
+    differ = np.zeros(len(at), bool)
+    differ[live] = size[live] != size[rep[live]]
+    k = 0
+    while len(live):
+        live = live[(size[live] > k) & ~differ[live]]
+        if not len(live):
+            break
+        left = np.minimum(8, size[live] - k).astype(np.uint64)
+        x = (eight[at[live] + k] ^ eight[at[rep[live]] + k]) << ((np.uint64(8) - left) * np.uint64(8))
+        differ[live[x != 0]] = True
+        k += 8
+    bad = np.flatnonzero(differ)
+    if len(bad):
+        inv = inv.copy()
+        inv[bad] = len(first) + np.arange(len(bad))
+        first = np.concatenate([first, bad])
+    return first, inv
+
+
 def text_slices(lengths: np.ndarray, most: int = 2_000_000):
     """(from, to) ranges of rows that hold at most ``most`` bytes together, or a single longer row."""
     i, n = 0, len(lengths)
