@@ -38,7 +38,7 @@ _LEVEL[[ord(c) for c in SENTENCE]] = 2
 _LEVEL[[ord(c) for c in CLAUSE]] = 1
 
 
-def boundaries(cp: np.ndarray, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def boundaries(cp: np.ndarray, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, forced: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(position, level, tokens before, forced) of the places of a range where a cut keeps sizes exact.
 
     ``cp``: the code points; ``starts``: positions of words, with ``sizes`` their tokens.  Levels: 3 paragraph, 2 line or sentence, 1 clause or blank, 0 word.
@@ -50,7 +50,7 @@ def boundaries(cp: np.ndarray, classes: np.ndarray, starts: np.ndarray, sizes: n
     # a run of white space that the pattern cuts in two is one word at a piece's end: no cut after it
     run_before = np.zeros(len(starts), bool)
     run_before[1:] = space[np.maximum(starts[:-1] - 1, 0)] & space[starts[:-1]] & (starts[:-1] > 0)
-    ok = ~prev_space | (~run_before & prev_space & ~space[starts])
+    ok = ~prev_space | (~run_before & prev_space & ~space[starts]) | forced
     if first and len(ok):
         ok[0] = True
     level = _LEVEL[cp[prev]].copy()
@@ -63,7 +63,9 @@ def boundaries(cp: np.ndarray, classes: np.ndarray, starts: np.ndarray, sizes: n
     prior[1:] = np.where(space[starts[:-1]], lines[starts[1:]] - lines[starts[:-1]], 0)
     n = own + prior
     level = np.where(n >= 2, 3, np.where(n == 1, np.maximum(level, 2), np.where(space[starts] | prev_space, np.maximum(np.where((cp[prev] == 46) & space[starts], 2, level), 1), level)))
-    return starts[ok], level[ok].astype(np.int8), before[ok], np.zeros(int(ok.sum()), bool)
+    # a forced cut is a start of no word: never better than any other
+    level = np.where(forced, 0, level)
+    return starts[ok], level[ok].astype(np.int8), before[ok], forced[ok]
 
 
 def thin(forced: np.ndarray, level: np.ndarray, before: np.ndarray, grain: int = GRAIN) -> np.ndarray:
@@ -152,10 +154,7 @@ def range_table(texts: pa.Array, sizes: WordSizes, classes: np.ndarray, left: li
             if not m:
                 yield k, np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, bool), 0
                 continue
-            pos, level, before, _ = boundaries(cp, classes, st, sz, offset[k] == 0)
-            f = forced[np.searchsorted(st, pos)]
-            # a forced start is a start of no word: never better than any other
-            level = np.where(f, 0, level)
+            pos, level, before, f = boundaries(cp, classes, st, sz, forced, offset[k] == 0)
             keep = np.flatnonzero((pos >= left[k]) & ((pos < left[k] + width[k]) | last[k]))
             keep = keep[thin(f[keep], level[keep], before[keep])]
             yield k, pos[keep] - left[k] + offset[k], level[keep], before[keep], f[keep], int(sz.sum())
