@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from grainmill.plans import relational
+from grainmill.plans import relational, textual
 
-MODULES = [relational]
+MODULES = [relational, textual]
 
 
 def queries() -> dict:
