@@ -116,8 +116,11 @@ def choose(pos: np.ndarray, level: np.ndarray, before: np.ndarray, total: int, l
         i = k if k > i else best
 
 
-def range_table(texts: pa.Array, sizes: WordSizes, classes: np.ndarray, left: list[int], offset: list[int], width: list[int], last: list[bool]):
-    """For each range (a text with its halos): pos (absolute), level, tokens before within the range, forced, tokens of the range."""
+def range_table(texts: pa.Array, sizes: WordSizes, classes: np.ndarray, left: list[int], offset: list[int], width: list[int], last: list[bool], enough: int = -1):
+    """For each range (a text with its halos): pos (absolute), level, tokens before within the range, forced, tokens of the range.
+
+    A whole text of at most ``enough`` tokens gets no table, only its size.
+    """
     data, off = _buffers(texts)
     for i, j in text_slices(np.diff(off)):
         part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
@@ -128,36 +131,52 @@ def range_table(texts: pa.Array, sizes: WordSizes, classes: np.ndarray, left: li
         words = np.searchsorted(at, o)
         at_char = np.searchsorted(lead, at)
         cps = np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32)
-        spans_a, spans_e, metas = [], [], []
+        a_b = np.append(lead, len(part))
+        ends_char = np.append(at_char[1:], len(lead))
+        ends_char[words[1:][words[1:] > words[:-1]] - 1] = row[1:][words[1:] > words[:-1]]  # the last word of a row ends with it
+        long = ends_char - at_char > CHUNK
+        long_in = np.concatenate([[0], np.cumsum(long)])
+        # rows without unbroken words are measured as they are, the others word by word
+        metas, spans_a, spans_e = [], [], []
         for r in range(j - i):
+            k, w0, w1 = i + r, words[r], words[r + 1]
             n = int(row[r + 1] - row[r])
-            st = at_char[words[r] : words[r + 1]] - row[r]
-            k = i + r
-            st, forced = chop(st, n, offset[k] - left[k])
-            e = np.concatenate([st[1:], [n]])
-            mine = (st >= left[k]) & ((st < left[k] + width[k]) | last[k])
-            a_b = np.append(lead, len(part))
-            spans_a.append(a_b[row[r] + st[mine]])
-            spans_e.append(a_b[row[r] + e[mine]])
-            metas.append((n, st, forced, mine))
-        got = sizes.of(part, np.concatenate(spans_a), np.concatenate(spans_e)) if spans_a else np.zeros(0, np.int64)
+            st = at_char[w0:w1] - row[r]
+            if long_in[w1] > long_in[w0]:
+                st, forced = chop(st, n, offset[k] - left[k])
+            else:
+                forced = None
+            if left[k] == 0 and last[k]:
+                lo, hi = 0, len(st)
+            else:
+                lo = int(np.searchsorted(st, left[k]))
+                hi = len(st) if last[k] else int(np.searchsorted(st, left[k] + width[k]))
+            edge = np.append(st, n)
+            spans_a.append(row[r] + edge[lo:hi])
+            spans_e.append(row[r] + edge[lo + 1 : hi + 1])
+            metas.append((n, st, forced, lo, hi))
+        at_all, end_all = np.concatenate(spans_a) if spans_a else np.zeros(0, np.int64), np.concatenate(spans_e) if spans_e else np.zeros(0, np.int64)
+        got = sizes.of(part, a_b[at_all].astype(np.int64), a_b[end_all].astype(np.int64))
         p = 0
-        for r, (n, st, forced, mine) in enumerate(metas):
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64))
+        for r, (n, st, forced, lo, hi) in enumerate(metas):
             k = i + r
-            m = int(mine.sum())
-            sz = np.zeros(len(st), np.int64)
-            sz[mine] = got[p : p + m]
-            # a forced cut may cost a token
-            sz[mine & forced] += 1
-            p += m
-            cp = cps[row[r] : row[r + 1]]
-            if not m:
-                yield k, np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, bool), 0
+            mine = got[p : p + hi - lo]
+            p += hi - lo
+            if forced is not None:
+                mine = mine + forced[lo:hi]  # a forced cut may cost a token
+            total = int(mine.sum())
+            whole = left[k] == 0 and last[k] and offset[k] == 0
+            if hi == lo or (whole and total <= enough):
+                yield k, *none, np.ones(1, bool) if forced is not None and forced.any() else np.zeros(0, bool), total
                 continue
-            pos, level, before, f = boundaries(cp, classes, st, sz, forced, offset[k] == 0)
-            keep = np.flatnonzero((pos >= left[k]) & ((pos < left[k] + width[k]) | last[k]))
-            keep = keep[thin(f[keep], level[keep], before[keep])]
-            yield k, pos[keep] - left[k] + offset[k], level[keep], before[keep], f[keep], int(sz.sum())
+            sz = np.zeros(len(st), np.int64)
+            sz[lo:hi] = mine
+            pos, level, before, f = boundaries(cps[row[r] : row[r + 1]], classes, st, sz, np.zeros(len(st), bool) if forced is None else forced, offset[k] == 0)
+            keep = slice(int(np.searchsorted(pos, left[k])), len(pos) if last[k] else int(np.searchsorted(pos, left[k] + width[k])))
+            pos, level, before, f = pos[keep], level[keep], before[keep], f[keep]
+            keep = thin(f, level, before)
+            yield k, pos[keep] - left[k] + offset[k], level[keep], before[keep], f[keep], total
 
 
 def _pieces(pos, level, before, forced, total, length, limit, overlap):
@@ -206,7 +225,7 @@ def split(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
             lens = [len(t) for t in texts]
             n = len(texts)
             rows, spans = [], []
-            for k, pos, level, before, forced, total in range_table(b.column(1), sizes, classes, [0] * n, [0] * n, lens, [True] * n):
+            for k, pos, level, before, forced, total in range_table(b.column(1), sizes, classes, [0] * n, [0] * n, lens, [True] * n, limit):
                 ss = [(0, lens[k], total, bool(forced.any()))] if total <= limit else _pieces(pos, level, before, forced, total, lens[k], limit, overlap)
                 rows.append(k)
                 spans.append([x for s in ss for x in _settle(texts[k], s, sizes, classes, limit)])
