@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from grainmill.plans import relational, textual
+from grainmill.plans import evaluation, relational, textual
 
-MODULES = [relational, textual]
+MODULES = [relational, textual, evaluation]
 
 
 def queries() -> dict:

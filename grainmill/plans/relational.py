@@ -54,10 +54,10 @@ def group_month_having(s, d):
     return t(s, d, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.round(F.avg("o_totalprice"), 2).alias("mean_price"), F.count("*").alias("n")).filter("n >= 10")
 
 
-@query("""SELECT p_brand, w AS word, count(*) AS n, round(avg(p_retailprice), 2) AS mean_price FROM (SELECT DISTINCT p_partkey, p_brand, p_retailprice, unnest(string_split(lower(p_name), ' ')) AS w FROM part) GROUP BY 1, 2 HAVING count(*) >= 5""")
+@query("""SELECT p_brand, w AS word, count(*) AS n, round(sum(p_retailprice), 1) AS total_price FROM (SELECT DISTINCT p_partkey, p_brand, p_retailprice, unnest(string_split(lower(p_name), ' ')) AS w FROM part) GROUP BY 1, 2 HAVING count(*) >= 5""")
 def multilabel_levels(s, d):
     x = t(s, d, "part").select("p_brand", "p_retailprice", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word"))
-    return x.groupBy("p_brand", "word").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 2).alias("mean_price")).filter("n >= 5")
+    return x.groupBy("p_brand", "word").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 1).alias("total_price")).filter("n >= 5")
 
 
 @query("""WITH top AS (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20) SELECT l_suppkey, strftime(l_shipdate, '%Y') AS year, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM top) GROUP BY 1, 2 HAVING count(*) >= 5""")
