@@ -34,14 +34,36 @@ def sniff_encoding(spark: SparkSession, path: str, limit: int = PROBE_BYTES) ->
 def read_csv(spark: SparkSession, path: str, required: list[str] | None = None, encoding: str | None = None) -> DataFrame:
     """All columns as strings, by header; a byte-order mark is no part of the first name; ``required`` names that are missing raise."""
     e = encoding or sniff_encoding(spark, path)
-    df = spark.read.csv(path, header=True, encoding={"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gbk": "GBK", "gb2312": "GB2312", "latin-1": "ISO-8859-1"}[e], multiLine=True, escape='"')
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    if e in ("gbk", "gb2312"):
+        df = _decoded_csv(spark, path, e)
+    else:
+        df = spark.read.csv(path, header=True, encoding="ISO-8859-1" if e == "latin-1" else "UTF-8", multiLine=True, escape='"')
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
     missing = [c for c in required or [] if c not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks {', '.join(missing)}")
     return df
 
 
+def _decoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """CSV in an encoding that Spark's reader does not take: each file is decoded by one Python worker, so files must be of bounded size."""
+    import io
+
+    import pandas as pd
+
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    head = bytes(raw.orderBy("path").select(F.expr(f"substring(content, 1, {PROBE_BYTES})").alias("b")).head()["b"])
+    names = pd.read_csv(io.BytesIO(head.split(b"\n", 1)[0]), encoding=encoding, dtype=str).columns.tolist()
+
+    def decode(frames):
+        for f in frames:
+            for b in f["content"]:
+                x = pd.read_csv(io.BytesIO(b), encoding=encoding, dtype=str, keep_default_na=False, na_values=[""])
+                yield x.reindex(columns=names)
+
+    return raw.mapInPandas(decode, ", ".join(f"`{n}` string" for n in names))
+
+
 def normal_names(names: list[str]) -> list[str]:
     """Column names in lower case with underscores; blanks become column, and a name met before gets _2, _3, ..."""
     out: list[str] = []
