@@ -108,7 +108,8 @@ def match(values: DataFrame, column: str, ref: DataFrame, short: int = SHORT, lo
     near = rest.join(spark.sql(_NEAR, w=w, s=s), "form").select("value", "code", "d", "swapped")
     hits = exact.select("value", "code", "d", F.lit(True).alias("swapped")).unionByName(near)
     best = spark.sql(_BEST, m=hits)
-    unmatched = t.select("value").distinct().join(best.select("value"), "value", "left_anti")
+    every = values.filter(~blank(F.col(column))).select(F.col(column).alias("value")).distinct()
+    unmatched = every.join(best.select("value"), "value", "left_anti")
     return best.unionByName(unmatched.select("value", F.lit("").alias("code"), F.lit(None).cast("int").alias("d")))
 
 

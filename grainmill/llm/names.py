@@ -15,10 +15,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from grainmill.functions.chars import blank, narrow
+from grainmill.operators.graph import components
 from grainmill.sources.shared import cut
 
 # Cities, trades and legal forms, script variants.
@@ -86,10 +86,9 @@ def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS, pivots:
     gives the same pairs).  A left member goes to its nearest pivot's cell; a right one to all cells p with d(y, p) <= reach(p) +
     radius, where reach(p) is the largest distance of a left member of the cell: by the triangle inequality no pair is lost.
     """
-    spark = left.sparkSession
     ps = right.orderBy(F.xxhash64("id")).limit(pivots).select("city", "trade", "brand").collect()
     if not ps:
-        return spark.createDataFrame([], T.StructType([left.schema["id"], T.StructField("y", left.schema["id"].dataType), T.StructField("d", T.IntegerType())])).toDF("x", "y", "d")
+        return left.limit(0).select(F.col("id").alias("x"), F.col("id").alias("y"), F.col("brand").alias("sx"), F.col("brand").alias("sy"), F.lit(0).alias("d"))
     table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("cts", p)]) for p in ps])
     away = lambda: F.transform(table, lambda p: _distance(F.col("city"), F.col("trade"), F.col("brand"), p["c"], p["t"], p["s"]))
     q = left.withColumn("_d", away()).withColumn("_near", F.array_min("_d")).withColumn("cell", F.array_position("_d", F.col("_near")) - 1)
@@ -111,21 +110,6 @@ def human_edit(s1: Column, s2: Column, d: Column) -> Column:
     return (d == 0) | one | swap | skip
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
-    """id, firm: connected components by smallest-label propagation with pointer jumping, each round cut through the shared folder."""
-    label = cut(nodes.select("id", F.col("id").alias("firm")).distinct())
-    both = cut(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    for _ in range(rounds):
-        best = both.join(label.withColumnRenamed("id", "y"), "y").groupBy("x").agg(F.min("firm").alias("m"))
-        step = label.join(best.withColumnRenamed("x", "id"), "id", "left").select("id", "firm", F.least("firm", F.coalesce("m", "firm")).alias("new"))
-        jump = step.join(step.select(F.col("id").alias("_i"), F.col("new").alias("_n")), F.col("new") == F.col("_i")).select("id", "firm", F.col("_n").alias("new"))
-        nxt = cut(jump)
-        if not nxt.filter("firm <> new").limit(1).count():
-            return nxt.select("id", F.col("new").alias("firm"))
-        label = nxt.select("id", F.col("new").alias("firm"))
-    return label
-
-
 def link(names: DataFrame, column: str = "company_name") -> DataFrame:
     """name, firm: the firm (a number of its own) of each distinct name that is a firm's."""
     read = cut(read_names(names, column).withColumn("id", F.xxhash64("city", "trade", "brand")))
@@ -134,7 +118,7 @@ def link(names: DataFrame, column: str = "company_name") -> DataFrame:
     # full readings with one another; an abbreviation then joins the firm that it fits, if it fits one only
     near = radius_join(full, full).filter("x <> y").withColumn("ok", human_edit(F.col("sx"), F.col("sy"), F.col("d"))).filter("ok")
     near = cut(near.withColumn("short", (F.col("d") == 2) & (F.length("sx") < F.length("sy"))))
-    firms = cut(components(near.filter("NOT short AND NOT (d = 2 AND length(sx) > length(sy))").select("x", "y"), full))
+    firms = cut(components(near.filter("NOT short AND NOT (d = 2 AND length(sx) > length(sy))").select("x", "y"), full).withColumnRenamed("component", "firm"))
     fits = near.filter("short").join(firms.withColumnRenamed("id", "y"), "y").groupBy("x").agg(F.min("firm").alias("f"), F.countDistinct("firm").alias("n")).filter("n = 1")
     firms = cut(firms.join(fits.select(F.col("x").alias("id"), "f"), "id", "left").select("id", F.coalesce("f", "firm").alias("firm")))
     out = firms
