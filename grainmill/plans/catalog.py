@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from grainmill.plans import evaluation, relational, textual
+from grainmill.plans import evaluation, matching, relational, textual
 
-MODULES = [relational, textual, evaluation]
+MODULES = [relational, textual, evaluation, matching]
 
 
 def queries() -> dict:
