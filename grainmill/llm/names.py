@@ -92,7 +92,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS, pivots:
     table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("cts", p)]) for p in ps])
     away = lambda: F.transform(table, lambda p: _distance(F.col("city"), F.col("trade"), F.col("brand"), p["c"], p["t"], p["s"]))
     q = left.withColumn("_d", away()).withColumn("_near", F.array_min("_d")).withColumn("cell", F.array_position("_d", F.col("_near")) - 1)
-    q = cut(q.select(F.col("id").alias("x"), F.col("city").alias("cx"), F.col("trade").alias("tx"), F.col("brand").alias("sx"), F.col("cell").cast("int").alias("cell"), "_near"))
+    q = q.select(F.col("id").alias("x"), F.col("city").alias("cx"), F.col("trade").alias("tx"), F.col("brand").alias("sx"), F.col("cell").cast("int").alias("cell"), "_near")
     reach = {r["cell"]: r["m"] for r in q.groupBy("cell").agg(F.max("_near").alias("m")).collect()}  # at most ``pivots`` rows
     limits = F.array(*[F.lit(int(reach[i]) + radius if i in reach else -1) for i in range(len(ps))])
     cells = F.filter(F.transform(F.arrays_zip(away().alias("d"), limits.alias("m")), lambda z, i: F.when(z["d"] <= z["m"], i)), lambda i: i.isNotNull())
@@ -121,20 +121,17 @@ def link(names: DataFrame, column: str = "company_name") -> DataFrame:
     firms = cut(components(near.filter("NOT short AND NOT (d = 2 AND length(sx) > length(sy))").select("x", "y"), full).withColumnRenamed("component", "firm"))
     fits = near.filter("short").join(firms.withColumnRenamed("id", "y"), "y").groupBy("x").agg(F.min("firm").alias("f"), F.countDistinct("firm").alias("n")).filter("n = 1")
     firms = cut(firms.join(fits.select(F.col("x").alias("id"), "f"), "id", "left").select("id", F.coalesce("f", "firm").alias("firm")))
-    out = firms
-    for what in (("city",), ("trade",), ("city", "trade")):
-        said = [c for c in ("city", "trade") if c not in what]
-        part = nodes.filter(" AND ".join([f"{c} = ''" for c in what] + [f"{c} <> ''" for c in said]))
-        seen = full.join(firms, "id").select(F.col("firm").alias("id"), *[F.lit("").alias(c) if c in what else F.col(c) for c in ("city", "trade")], "brand").distinct()
-        key = seen.select(F.xxhash64("city", "trade", "brand").alias("k"), "*")
-        points = key.select(F.col("k").alias("id"), "city", "trade", "brand").distinct()
-        reach = radius_join(part.select("id", "city", "trade", "brand"), points).withColumn("ok", human_edit(F.col("sx"), F.col("sy"), F.col("d"))).filter("ok")
-        reach = reach.join(key.select(F.col("k").alias("y"), F.col("id").alias("firm")), "y").select("x", "firm", "d").distinct()
-        best = reach.withColumn("m", F.min("d").over(W.partitionBy("x"))).filter("d = m").groupBy("x").agg(F.min("firm").alias("firm"), F.countDistinct("firm").alias("n"))
-        joined = part.select("id").join(best.filter("n = 1").select(F.col("x").alias("id"), "firm"), "id")
-        # what fits no firm at all is a firm by its own reading; what fits several stays apart
-        alone = part.select("id").join(best.select(F.col("x").alias("id")), "id", "left_anti").select("id", F.col("id").alias("firm"))
-        out = out.unionByName(joined.select("id", "firm")).unionByName(alone)
+    # readings that leave city, trade or both unsaid lie in the space of full readings without them
+    part = nodes.filter("city = '' OR trade = ''")
+    seen = full.join(firms, "id").select("firm", "brand", F.explode(F.array(*[F.struct(F.lit("").alias("city") if not c else F.col("city"), F.lit("").alias("trade") if not t else F.col("trade")) for c, t in ((0, 1), (1, 0), (0, 0))])).alias("p"))
+    seen = cut(seen.select("firm", "p.city", "p.trade", "brand").distinct().withColumn("k", F.xxhash64("city", "trade", "brand")))
+    points = seen.select(F.col("k").alias("id"), "city", "trade", "brand").distinct()
+    reach = radius_join(part, points).withColumn("ok", human_edit(F.col("sx"), F.col("sy"), F.col("d"))).filter("ok")
+    reach = reach.join(seen.select(F.col("k").alias("y"), "firm"), "y").select("x", "firm", "d").distinct()
+    best = reach.withColumn("m", F.min("d").over(W.partitionBy("x"))).filter("d = m").groupBy("x").agg(F.min("firm").alias("f"), F.countDistinct("firm").alias("n"))
+    # what fits no firm is a firm by its own reading; what fits several joins none
+    joined = part.select("id").join(best.withColumnRenamed("x", "id"), "id", "left").filter("n IS NULL OR n = 1").select("id", F.coalesce("f", "id").alias("firm"))
+    out = firms.unionByName(joined)
     return read.join(out, "id").select("name", "firm").distinct()
 
 
