@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.lexicon import MAX_WORD, Lexicon, Merger, compile_lexicon
 from grainmill.llm.pretokens import class_table, distinct_spans, span_hashes, text_slices, word_starts
-from grainmill.sources.shared import put_bytes
+from grainmill.sources.shared import cut, put_bytes
 
 LEXICON_WORDS = 1 << 16  #: Most words in a lexicon: bounds the model's file (some 20 MB) and what the driver holds.
 
@@ -82,7 +82,13 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def build_lexicon(docs: DataFrame, text: str = "text", ranks: str | None = None, words: int = LEXICON_WORDS) -> str:
     """Compile the ``words`` most frequent words of the corpus; returns the name of the model's file on every executor."""
-    top = count_words(docs, text).filter("n > 1").orderBy(F.desc("n"), "word").limit(words).select("word").toArrow().column(0).to_pylist()  # bounded by ``words``
+    counts = cut(count_words(docs, text).filter("n > 1").select("word", F.floor(F.log2("n") * 32).cast("int").alias("bin")))
+    room, least = words, None
+    for r in counts.groupBy("bin").count().orderBy(F.desc("bin")).collect():  # at most 2,048 bins of counts
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["bin"]
+    top = [] if least is None else counts.filter(F.col("bin") >= least).select("word").toArrow().column(0).to_pylist()  # at most ``words``
     merge = Merger.of(ranks or default_ranks())
     return put_bytes(docs.sparkSession, compile_lexicon(top, [merge.ids(w) for w in top], _classes()), ".lex")
 
