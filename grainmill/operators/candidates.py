@@ -119,30 +119,36 @@ def _lenient(t: str | None) -> str | None:
         return None
     body = t[min(starts) :]
     end = max(body.rfind("}"), body.rfind("]"))
-    for cand in ([body[: end + 1]] if end >= 0 else []) + [body]:
-        cand = re.sub(r",\s*([}\]])", r"\1", cand)
-        open_, in_str, esc = [], False, False
-        for ch in cand:
-            if in_str:
-                esc = ch == "\\" and not esc
-                if ch == '"' and not esc:
-                    in_str = False
-            elif ch == '"':
-                in_str = True
-            elif ch in "{[":
-                open_.append("}" if ch == "{" else "]")
-            elif ch in "}]" and open_:
-                open_.pop()
-        closed = cand + ('"' if in_str else "") + "".join(reversed(open_))
-        literal = re.sub(r"\bNone\b", "null", re.sub(r"\bTrue\b", "true", re.sub(r"\bFalse\b", "false", closed.replace("'", '"'))))
-        for form in (cand, closed, re.sub(r",\s*([}\]])", r"\1", closed), literal):
+    upto = body[: end + 1] if end >= 0 else body
+    # as it is; with what is open at the end closed; cut back to the last bracket and closed
+    for form in (upto, _closed(body), _closed(upto)):
+        plain = re.sub(r",\s*([}\]])", r"\1", form)
+        python = re.sub(r"\bNone\b", "null", re.sub(r"\bTrue\b", "true", re.sub(r"\bFalse\b", "false", plain.replace("'", '"'))))
+        for x in (plain, python):
             try:
-                return json.dumps(json.loads(form), ensure_ascii=False, separators=(",", ":"))
+                return json.dumps(json.loads(x), ensure_ascii=False, separators=(",", ":"))
             except ValueError:
                 continue
     return None
 
 
+def _closed(text: str) -> str:
+    """``text`` with its open string and brackets closed."""
+    open_, in_str, esc = [], False, False
+    for ch in text:
+        if in_str:
+            if ch == '"' and not esc:
+                in_str = False
+            esc = ch == "\\" and not esc
+        elif ch == '"':
+            in_str = True
+        elif ch in "{[":
+            open_.append("}" if ch == "{" else "]")
+        elif ch in "}]" and open_:
+            open_.pop()
+    return text + ('"' if in_str else "") + "".join(reversed(open_))
+
+
 def lenient_json(c: Column) -> Column:
     """Compact JSON out of text with thoughts, fences, trailing commas, single quotes or a cut end; NULL where nothing parses."""
 

@@ -181,7 +181,7 @@ def skill_names(s, d):
     entries = [("SQL", "tool", None), ("Python", "tool", None), ("电子表格", "office", "excel"), ("企业资源计划", "office", "erp"), ("核对", "action", "数据核对"), ("排查", "action", "风险排查")]
     dic = s.createDataFrame(entries, "name string, category string, alias string")
     terms = [x for n, _, a in entries for x in (n, a) if x]
-    f = t(s, d, "documents", "doc_id", "text").select("doc_id", F.explode(skills.drop_substrings(skills.matcher(terms)(F.col("text")))).alias("term"))
+    f = t(s, d, "documents", "doc_id", "text").withColumn("f", skills.matcher(terms)(F.col("text"))).select("doc_id", F.explode(skills.drop_substrings(F.col("f"))).alias("term"))
     return skills.resolve(f, "term", dic).groupBy("name", "category", "confidence").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from grainmill.operators import relational as R
 from grainmill.sources.tables import table as t
+from grainmill.streaming import events as streams
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -300,3 +301,20 @@ def events_tumbling(s, d):
 @query("""SELECT c_mktsegment, c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)""")
 def cube_totals(s, d):
     return t(s, d, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 hours THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sess FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 hours AS session_end, count(*) AS n FROM s GROUP BY user_id, sess""")
+def events_sessions(s, d):
+    x = streams.sessions(t(s, d, "events", "ts", "user_id"), "ts", "user_id", "6 hours")
+    return x.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+@query("""WITH x AS (SELECT o_orderkey, o_orderpriority AS region, unnest(string_split(c_mktsegment || ',' || o_orderstatus, ',')) AS tag FROM orders JOIN customer ON o_custkey = c_custkey), g AS (SELECT tag, count(*) AS n, min(o_orderkey) AS first_order FROM x GROUP BY 1 HAVING count(*) >= 3)
+SELECT tag, n, first_order, CASE WHEN regexp_matches(tag, 'AUTO|MACH') THEN 'goods' WHEN regexp_matches(tag, 'BUILD|FURN|HOUSE') THEN 'home' ELSE 'other' END AS dimension FROM g ORDER BY n DESC, tag LIMIT 20""")
+def seed_counts(s, d):
+    """Tags out of comma lists, counted, the first of each kept as a sample, placed by the first keyword met; the 20 most frequent."""
+    x = _orders(s, d).select("o_orderkey", F.explode(F.split(F.concat_ws(",", "c_mktsegment", "o_orderstatus"), ",")).alias("tag"))
+    g = x.groupBy("tag").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_order")).filter("n >= 3")
+    kind = F.when(F.col("tag").rlike("AUTO|MACH"), "goods").when(F.col("tag").rlike("BUILD|FURN|HOUSE"), "home").otherwise("other")
+    return g.withColumn("dimension", kind).orderBy(F.desc("n"), "tag").limit(20)
