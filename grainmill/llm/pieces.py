@@ -266,17 +266,17 @@ def split(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     cuts = table.groupBy("k", "h").applyInPandas(stitch, f"k {kind}, h bigint, a bigint, b bigint, tok bigint, f boolean")
     cuts = cuts.groupBy("k", "h").agg(F.array_sort(F.collect_list(F.struct("a", "b", "tok", "f"))).alias("ss"))
     # by offset: each piece is a substring, taken in the JVM
-    out = big.withColumn("h", F.xxhash64("t")).join(cuts, ["k", "h"]).select("k", F.posexplode("ss").alias("p", "s"), "t").select("k", "p", F.col("s.a").alias("a"), F.col("s.tok").alias("tok"), F.col("s.f").alias("f"), F.substring("t", F.col("s.a").cast("int") + 1, (F.col("s.b") - F.col("s.a")).cast("int")).alias("t"))
+    out = big.withColumn("h", F.xxhash64("t")).join(cuts, ["k", "h"]).select("k", "h", F.posexplode("ss").alias("p", "s"), "t").select("k", "h", F.col("s.a").alias("a"), F.col("s.tok").alias("tok"), F.col("s.f").alias("f"), F.substring("t", F.col("s.a").cast("int") + 1, (F.col("s.b") - F.col("s.a")).cast("int")).alias("t"))
 
     def settle(batches):
         sizes, classes = WordSizes(ranks), _classes()
         for b in batches:
-            k, p, a, tok, f, t = (b.column(i).to_pylist() for i in range(6))
-            rows = [(k[i], p[i], a[i] + x, a[i] + y, z, t[i][x:y]) for i in range(len(k)) for x, y, z in _settle(t[i], (0, len(t[i]), tok[i], f[i]), sizes, classes, limit)]
+            k, h, a, tok, f, t = (b.column(i).to_pylist() for i in range(6))
+            rows = [(k[i], h[i], a[i] + x, a[i] + y, z, t[i][x:y]) for i in range(len(k)) for x, y, z in _settle(t[i], (0, len(t[i]), tok[i], f[i]), sizes, classes, limit)]
             cols = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.string())], ["k", "p", "from_char", "to_char", "tokens", "piece_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.string())], ["k", "h", "from_char", "to_char", "tokens", "piece_text"])
 
-    settled = out.mapInArrow(settle, f"k {kind}, p int, from_char bigint, to_char bigint, tokens bigint, piece_text string")
-    spans = settled.groupBy("k", F.xxhash64("k").alias("_x")).agg(F.array_sort(F.collect_list(F.struct("from_char", "to_char", "tokens", "piece_text"))).alias("ps")).drop("_x")
+    settled = out.mapInArrow(settle, f"k {kind}, h bigint, from_char bigint, to_char bigint, tokens bigint, piece_text string")
+    spans = settled.groupBy("k", "h").agg(F.array_sort(F.collect_set(F.struct("from_char", "to_char", "tokens", "piece_text"))).alias("ps"))
     large = spans.select("k", F.posexplode("ps").alias("piece", "s"), F.size("ps").alias("n_pieces")).select("k", "piece", "n_pieces", "s.from_char", "s.to_char", "s.tokens", "s.piece_text")
     return small.unionByName(large).withColumnRenamed("k", key)
