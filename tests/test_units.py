@@ -39,7 +39,7 @@ def test_empty_and_unknown_feed(spark):
 def test_mixture_separates_scales():
     rng = np.random.default_rng(1)
     true = rng.normal(4.0, 0.1, 4000)
-    offsets = np.array([0.0, 3.0, 4.0 - np.log10(12)])
+    offsets = np.array([0.0, 3.0, -np.log10(12)])  # months, thousands a month, years: a year in ten thousands would lie within a deviation of the second
     kind = rng.integers(0, 3, 4000)
     bins = np.floor((true - offsets[kind]) / units.BIN).astype(int)
     b, n = np.unique(bins, return_counts=True)
