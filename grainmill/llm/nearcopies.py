@@ -1,12 +1,13 @@
 """Problem 6: postings put up again with small changes.
 
-A description becomes the set of its clauses (mark-up, width, case, punctuation, numbering and order left out).
-Clauses that more than one in ``COMMON`` records hold say little about copying and stay out of the signature, unless a
-text has fewer than three others.  The signature is ``CHUNKS * WIDTH`` minwise positions of ``BITS`` bits.  A multi-index Hamming
-join splits it into ``CHUNKS`` chunks; by pigeonhole two signatures that differ in at most ``2 * CHUNKS - 1`` positions differ in
-at most one position of some chunk, so each chunk is indexed under its ``WIDTH`` one-error variants (one position masked).  A bucket
-of more than ``BUCKET`` classes is split by a second index over the remaining positions, by the same argument.  Pairs that
-meet are verified exactly on the clauses.
+A description becomes the set of its clauses (mark-up, width, case, punctuation, numbering and order left out), each weighed
+by its length.  Candidates come from an exact prefix filter over pairs of clauses: with the clauses of every text in one
+global order, rare ones first, two texts that share ``SHARED`` of the longer one have a first and a second shared clause,
+and from either on each text must hold enough weight.  Each class is indexed under all pairs of its clauses that can be these
+two, and under each clause that suffices alone, so no pair is lost, however common its clauses are; the order only decides
+how many candidates there are.  A bucket of more than ``BUCKET`` classes is split by the third shared clause, by the
+same argument, where that leaves fewer pairs, and is dealt in blocks otherwise.  Pairs that meet are verified exactly on the
+clauses.
 
 Records with the same clauses form one class; pairs are found between classes and expanded to records only
 in :func:`found`, whose form is fixed.
@@ -29,16 +30,13 @@ from pyspark.sql import functions as F
 
 from grainmill.sources.shared import cut
 
-CHUNKS, WIDTH, BITS = 9, 4, 16
-POSITIONS = CHUNKS * WIDTH
-BUCKET = 200  #: Classes of a bucket beyond which it is split by the second index.
+BUCKET = 200  #: Classes of a bucket beyond which it is split.
 SHARED = 0.6  #: Least share of wording, by length of shared clauses against the longer text: between "less than about half" and "two thirds".
-COMMON = 500  #: A clause in more than one of so many records is left out of signatures; there are at most (mean clauses) * COMMON such clauses.
+BINS = 1 << 20  #: Bins of the histogram of clauses that gives their order, whatever the number of clauses.
 LEAST_CHARS = 40
 
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _CUT = re.compile(r"[^\w ]+|(?<=[^\x00-\x7f]) +| +(?=[^\x00-\x7f])")
-_SEEDS = np.random.default_rng(6).integers(1, 1 << 63, (2, POSITIONS), dtype=np.uint64) | np.uint64(1)
 
 
 def clauses(text: str) -> list[str]:
@@ -89,90 +87,126 @@ def featured(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL").mapInArrow(run, "key string, cls bigint, cl array<int>, ln array<smallint>")
 
 
-def signatures(cl: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Positions x sets: the minwise values of each set ``cl[at[i]:at[i+1]]`` (none empty), in ``BITS`` bits."""
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = cl.astype(np.int64).astype(np.uint64)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        sig = np.empty((POSITIONS, len(at) - 1), np.uint64)
-        for p in range(POSITIONS):
-            h = (x ^ (x >> np.uint64(27))) * _SEEDS[0, p] + _SEEDS[1, p]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0x94D049BB133111EB)
-            sig[p] = np.minimum.reduceat(h, at[:-1]) >> np.uint64(64 - BITS)
-    return sig
-
-
-def variant_keys(sig: np.ndarray) -> np.ndarray:
-    """Sets x ``CHUNKS * WIDTH``: the index keys, each chunk with one position masked."""
-    out = np.empty((POSITIONS, sig.shape[1]), np.int64)
-    for c in range(CHUNKS):
-        for masked in range(WIDTH):
-            key = np.full(sig.shape[1], c * WIDTH + masked, np.uint64)
-            for k in range(WIDTH):
-                if k != masked:
-                    key = (key << np.uint64(BITS)) | sig[c * WIDTH + k]
-            out[c * WIDTH + masked] = key.astype(np.int64)
-    return out.T
-
-
-def second_keys(sig: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sets x keys that split a bucket: two of three (or four) neighbouring positions.
-
-    A pair within the distance agrees in more than half the positions, so beyond the three of its bucket some three neighbours hold two that agree.
-    """
-    out = []
-    with np.errstate(over="ignore"):
-        for g in range(0, POSITIONS - 2, 3):  # the last group may hold a fourth position
-            w = 4 if POSITIONS - g == 4 else 3
-            for i, j in [(i, j) for j in range(w) for i in range(j)]:
-                k = (first.astype(np.uint64) ^ np.uint64((g * 2 + i + j) << 56)) * np.uint64(0x9E3779B97F4A7C15)
-                k = (k ^ (k >> np.uint64(32)) ^ (sig[g + i] << np.uint64(16)) ^ sig[g + j]) * np.uint64(0xBF58476D1CE4E5B9)
-                out.append(k.astype(np.int64))
-    return np.stack(out).T
+        k = (a.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        k = ((k ^ (k >> np.uint64(29))) ^ b.astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+        return (k ^ (k >> np.uint64(32))).astype(np.int64)
+
+
+def _tokens(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, clause with its length in one number, length and histogram bin of each clause of a batch."""
+    size = np.asarray(b.column("cl").value_lengths())
+    ln = b.column("ln").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    tok = (b.column("cl").flatten().to_numpy(zero_copy_only=False).astype(np.int64) << 16) | ln
+    return np.repeat(np.arange(len(size)), size), tok, ln, _mix(tok, tok) & (BINS - 1)
+
+
+class _Ordered:
+    """The clauses of a batch's classes, rare ones first, with the weight from each on."""
+
+    def __init__(self, b: pa.RecordBatch, hist: np.ndarray, shared: float):
+        row, tok, w, bins = _tokens(b)
+        order = np.lexsort((tok, hist[bins], row))
+        self.row, self.tok, self.w = row[order], tok[order], w[order]
+        n = np.bincount(row, minlength=b.num_rows)
+        self.total = np.bincount(row, w, minlength=b.num_rows).astype(np.int64)
+        self.end = np.cumsum(n)[self.row]
+        before = np.concatenate([[0], np.cumsum(self.w)])
+        self.on = self.total[self.row] - (before[:-1] - before[self.end - n[self.row]])
+        self.need = shared * self.total[self.row] - 1e-6
+
+    def keys(self):
+        """Arrays of key, first and second position and the most weight that can be shared; those of one clause have it twice."""
+        p = np.flatnonzero(self.w >= self.need)
+        yield _mix(self.tok[p], self.tok[p]), p, p, self.on[p]
+        p, gap = np.flatnonzero(self.on >= self.need), 1
+        while len(p):
+            p = p[p + gap < self.end[p]]
+            p = p[self.w[p] + self.on[p + gap] >= self.need[p]]
+            yield _mix(self.tok[p], self.tok[p + gap]), p, p + gap, self.w[p] + self.on[p + gap]
+            gap += 1
+
+    def third(self, key: np.ndarray, p: np.ndarray, q: np.ndarray):
+        """Arrays of index into ``key``, key with the third shared clause and the most weight that can be shared; the key itself again where its clauses suffice."""
+        i = np.arange(len(key))
+        both = np.where(p == q, 0, self.w[p]) + self.w[q]
+        c = i[both >= self.need[p]]
+        yield c, _mix(key[c], key[c]), (both - self.w[q] + self.on[q])[c]
+        i, gap = i[p != q], 1
+        while len(i):
+            i = i[q[i] + gap < self.end[q[i]]]
+            i = i[both[i] + self.on[q[i] + gap] >= self.need[q[i]]]
+            yield i, _mix(key[i], self.tok[q[i] + gap]), both[i] + self.on[q[i] + gap]
+            gap += 1
+
+
+def _histogram(feat: DataFrame) -> np.ndarray:
+    """How often the clauses of each bin occur: no more than an order of clauses, rare ones first."""
+
+    def run(batches):
+        n = np.zeros(BINS, np.int64)
+        for b in batches:
+            n += np.bincount(_tokens(b)[3], minlength=BINS)
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(n[at[i : i + (1 << 16)]])], ["bin", "n"])
+
+    t = feat.select("cl", "ln").mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # at most ``BINS`` rows
+    out = np.zeros(BINS, np.int64)
+    out[t.column("bin").to_numpy()] = t.column("n").to_numpy()
+    return out
 
 
 def class_pairs(feat: DataFrame, shared: float = SHARED) -> DataFrame:
     """cls_a < cls_b of classes that share at least ``shared`` of their wording.  ``feat``: cls, cl, ln, one row a class."""
-    n = feat.count()
-    hot = feat.select(F.explode("cl").alias("h")).groupBy("h").count().filter(F.col("count") > max(200.0, n / COMMON)).select("h").collect() if n else []
-    common = np.sort(np.array([r["h"] for r in hot], np.int64))  # at most (mean clauses of a class) * COMMON values
-
-    def signed(b: pa.RecordBatch) -> np.ndarray:
-        lists = b.column("cl")
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        size = np.asarray(lists.value_lengths())
-        row = np.repeat(np.arange(len(size)), size)
-        keep = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] != flat if len(common) else np.ones(len(flat), bool)
-        rare = np.bincount(row[keep], minlength=len(size))
-        keep |= (rare < 3)[row]  # with fewer than three rare clauses all count
-        at = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(size)))])
-        return signatures(flat[keep], at)
+    hist = feat.sparkSession.sparkContext.broadcast(_histogram(feat))
 
     def index(batches):
         for b in batches:
             if b.num_rows:
-                keys = variant_keys(signed(b))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("cls").to_numpy(), keys.shape[1]))], ["k", "id"])
+                o, ids = _Ordered(b, hist.value, shared), b.column("cls").to_numpy()
+                for key, p, _, most in o.keys():
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[o.row[p]]), pa.array(o.total[o.row[p]], pa.int32()), pa.array(most, pa.int32())], ["k", "id", "total", "most"])
 
     def reindex(batches):
         for b in batches:
             if b.num_rows:
-                keys = second_keys(signed(b), b.column("k").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("cls").to_numpy(), keys.shape[1]))], ["k", "id"])
+                o, ids, want = _Ordered(b, hist.value, shared), b.column("cls").to_numpy(), b.column("k").to_numpy()
+                for key, p, q, _ in o.keys():
+                    same = key == want[o.row[p]]
+                    key, p, q = key[same], p[same], q[same]
+                    for i, k, most in o.third(key, p, q):
+                        yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(k), pa.array(ids[o.row[p[i]]]), pa.array(o.total[o.row[p[i]]], pa.int32()), pa.array(most, pa.int32())], ["k0", "k", "id", "total", "most"])
+
+    members = F.array_sort(F.collect_list(F.struct("id", "total", "most"))).alias("g")
+
+    def cross(df: DataFrame) -> DataFrame:
+        # a pair whose clauses from the key on cannot suffice has no place here
+        p = df.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+        may = F.least("x.most", "y.most") >= shared * F.greatest("x.total", "y.total") - 1e-6
+        return p.filter((F.col("x.id") < F.col("y.id")) & may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
     def pairs_in(g: DataFrame) -> DataFrame:
-        # the classes of a bucket as an array of 8-byte ids, smallest first: each with those after it
-        each = F.flatten(F.transform("g", lambda a, i: F.transform(F.slice("g", i + 2, F.greatest(F.size("g") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-        return g.select(F.explode(each).alias("p")).select("p.a", "p.b")
-
-    buckets = feat.select("cls", "cl").mapInArrow(index, "k bigint, id bigint").groupBy("k").agg(F.array_sort(F.collect_set("id")).alias("g")).filter(F.size("g") > 1)
-    buckets = cut(buckets)
-    pairs = pairs_in(buckets.filter(F.size("g") <= BUCKET))
-    full = cut(buckets.filter(F.size("g") > BUCKET).select("k", F.explode("g").alias("cls")))
+        small = g.filter(F.size("g") <= BUCKET).select(F.col("g").alias("x"), F.col("g").alias("y"))
+        block = lambda i: F.slice("g", F.col(i) * BUCKET + 1, F.lit(BUCKET))
+        last = F.floor((F.size("g") - 1) / BUCKET).cast("int")
+        large = g.filter(F.size("g") > BUCKET).select("g", F.explode(F.sequence(F.lit(0), last)).alias("i")).select("g", "i", F.explode(F.sequence("i", last)).alias("j"))
+        return cross(small).unionByName(cross(large.select(block("i").alias("x"), block("j").alias("y")).repartition(F.xxhash64("x", "y"))))
+
+    buckets = cut(feat.mapInArrow(index, "k bigint, id bigint, total int, most int").groupBy("k").agg(members).filter(F.size("g") > 1))
+    full = buckets.filter(F.size("g") > BUCKET)
     if full.limit(1).count():
-        again = full.join(feat.select("cls", "cl"), "cls").mapInArrow(reindex, "k bigint, id bigint")
-        pairs = pairs.unionByName(pairs_in(again.groupBy("k").agg(F.array_sort(F.collect_set("id")).alias("g")).filter(F.size("g") > 1)))
+        each = full.select("k", F.explode("g.id").alias("cls")).distinct()
+        again = each.join(feat, "cls").mapInArrow(reindex, "k0 bigint, k bigint, id bigint, total int, most int")
+        again = cut(again.groupBy("k0", "k").agg(members).filter(F.size("g") > 1))
+        met = lambda c: F.size(c).cast("double") * (F.size(c) - 1)
+        cost = again.groupBy(F.col("k0").alias("k")).agg(F.sum(met("g")).alias("met"))
+        whole = full.select("k", met("g").alias("whole")).join(cost, "k", "left").filter(F.col("met") >= F.col("whole")).select("k")
+        pairs = pairs_in(buckets.filter(F.size("g") <= BUCKET)).unionByName(pairs_in(full.join(whole, "k", "left_semi")))
+        pairs = pairs.unionByName(pairs_in(again.join(whole.withColumnRenamed("k", "k0"), "k0", "left_anti")))
+    else:
+        pairs = pairs_in(buckets)
     pairs = pairs.distinct()
     side = lambda s: feat.select(F.col("cls").alias(s), F.col("cl").alias(f"cl_{s}"), F.col("ln").alias(f"ln_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")

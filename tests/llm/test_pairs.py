@@ -58,6 +58,20 @@ def test_near_copies_split_full_buckets(spark, monkeypatch):
     assert {tuple(r) for r in nearcopies.found(df).collect()} == want
 
 
+def test_near_copies_in_one_large_group(spark):
+    rnd = random.Random(8)
+    base = [f"第{i}项职责为{rnd.choice(VERBS)}{rnd.choice(OBJECTS)}{i}" for i in range(20)]
+    rows = []
+    for r in range(690):  # a third are copies with four clauses changed each
+        own = rnd.sample(range(20), 4) if r % 3 == 0 else range(20)
+        rows.append((f"r{r}", "；".join(f"另行安排{r}号{i}批{rnd.choice(OBJECTS)}" if i in own else x for i, x in enumerate(base))))
+    got = {tuple(r) for r in nearcopies.found(spark.createDataFrame(rows, "recruitment_record_id string, job_description_raw string")).collect()}
+    sets = [(k, {x: len(x) for x in nearcopies.clauses(t)}) for k, t in rows]
+    share = lambda a, b: sum(a[x] for x in a.keys() & b.keys()) / max(sum(a.values()), sum(b.values()))
+    want = {tuple(sorted((a, b))) for (a, x), (b, y) in itertools.combinations(sets, 2) if share(x, y) >= nearcopies.SHARED}
+    assert got == want and len(want) > 15_000
+
+
 def test_near_copies_empty(spark):
     df = spark.createDataFrame([], "recruitment_record_id string, job_description_raw string")
     assert nearcopies.found(df).count() == 0
