@@ -110,6 +110,23 @@ def test_overlap_shards_lose_nothing(spark):
     assert {(i, 100 + i) for i in range(9)} <= got
 
 
+def test_overlap_with_clauses_shuffled(spark):
+    rnd = random.Random(3)
+    own = lambda n: ["".join(chr(rnd.randint(0x4E00, 0x9000)) for _ in range(rnd.randint(6, 10))) for _ in range(n)]
+    train, ev = [], []
+    for i in range(20):
+        items = own(12)
+        train.append((i, "，".join(items)))
+        ev.append((100 + i, "；".join(items[::-1])))  # all of the wording
+        ev.append((200 + i, " ".join(rnd.sample(items[:9] + own(3), 12))))  # three clauses of twelve replaced
+        ev.append((300 + i, "".join(rnd.sample(items, 12))))  # without punctuation
+        ev.append((400 + i, "。".join(items[:5] + own(7))))  # less than half
+    train.append((50, "甲乙" * 30)), ev.append((150, "甲乙" * 30 + "，"))  # few distinct passages
+    mk = lambda rows: spark.createDataFrame(rows, "row_id bigint, text string")
+    got = {tuple(r) for r in overlap.found(mk(train), mk(ev[:40]), mk(ev[40:])).collect()}
+    assert got == {(i, k + i) for i in range(20) for k in (100, 200, 300)} | {(50, 150)}
+
+
 NAMES = [
     "深圳市鲸澜数驿科技有限公司", "深圳鲸澜数驿科技有限公司 ", "鲸澜数驿科技", "鲸澜·数驿", "鲸澜数驿(深圳)科技有限公司", "科技鲸澜数驿（深圳）", "深圳鲸数科技公司", "深圳市鲸蓝数驿科技有限公司", "深圳市鲸数澜驿科技集团有限公司",
     "深圳市鲸澜数驿食品有限公司", "广州市丰新琥一贸易有限公司", "廣州市丰新琥一贸易有限公可", "杭州市丰新琥一贸易有限公司", "Kinarove Foods (Hong Kong) Co., Ltd.", "KINAROVE FOODS (HONG KONG) CO., LTD.", "Kinarove Food.", "KinaroveFoods", "Foods Kinarove Ltd", "Kin arove Foods Co., Ltd.", "Knarove Foods (Hong Kong) Co., Ltd.", "保密", "某知名公司", "-", "nan", "", None,
