@@ -175,6 +175,13 @@ def run_skill_match(s, d):
     return x.select("doc_id", F.array_join(F.array_sort(skills.matcher([w for w in _WORDS if w.isascii()])(F.col("text"))), ",").alias("found"))
 
 
+@query()
+def skill_matches(s, d):
+    """The listed skills of every text, also of those in which an underscore touches a letter or digit, where SQL's word boundary differs."""
+    x = t(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL")
+    return x.select("doc_id", F.array_join(F.array_sort(skills.matcher([w for w in _WORDS if w.isascii()])(F.col("text"))), ",").alias("found"))
+
+
 @query()
 def skill_names(s, d):
     """Documents by canonical skill, category and confidence, terms inside longer ones left out."""

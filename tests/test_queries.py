@@ -40,3 +40,10 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_skill_matches_beside_underscores(spark, tmp_path):
+    texts = ["SQL_table and python", "my_excel_file", "erp_1", "xsql_", None, "ros"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["found"] for r in entry.queries()["skill_matches"](spark, str(tmp_path)).collect()}
+    assert got == {0: "python,sql", 1: "excel", 2: "erp", 3: "", 5: "ros"}
