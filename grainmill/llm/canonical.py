@@ -26,7 +26,7 @@ SHORT, LONG = 4, 7  #: From these lengths on one and two edits are allowed.
 def compact(c: Column) -> Column:
     """Letters and digits alone, in lower case, roman numerals and mark-up left out."""
     t = F.lower(narrow(c))
-    t = F.regexp_replace(t, r"<[^<>]{0,40}>|&[a-z]{2,6};", " ")
+    t = F.regexp_replace(t, r"<[^<>]*>|&[a-z]{2,6};", " ")
     t = F.regexp_replace(t, r"[Ⅰ-Ⅻⅰ-ⅻ]", " ")
     t = F.regexp_replace(t, r"\d+(?:\.\d+)?\s*[-~]\s*\d+(?:\.\d+)?\s*[kw万千]?(?:/月(?!薪))?|\d+薪|\d+届|\d+名|\d+人", " ")
     t = F.regexp_replace(t, LATIN_NOISE, " ")
@@ -40,9 +40,9 @@ def squeeze(c: Column) -> Column:
 def spellings(values: DataFrame, column: str) -> DataFrame:
     """value, form: the ways to read each distinct value: bracketed parts dropped or kept, city names and filler words dropped."""
     v = values.filter(~blank(F.col(column))).select(F.col(column).alias("value")).distinct()
-    base = compact(F.regexp_replace(narrow(F.col("value")), r"【[^】]{0,12}】", " "))
+    base = compact(F.regexp_replace(narrow(F.col("value")), r"【[^】]*】", " "))
     v = v.withColumn("_b", base)
-    bare = F.regexp_replace("_b", r"[(\[（][^()\[\]（）]{0,30}[)\]）]", " ")
+    bare = F.regexp_replace("_b", r"[(\[（][^()\[\]（）]*[)\]）]", " ")
     filler = lambda c: F.regexp_replace(c, r"(?:岗位|岗|方向|类)(?=[^\p{IsHan}\w]|$)|(?<=\p{IsHan})(?:岗|方向)(?=[-–—/· (（]?\p{IsHan})", " ")
     cities = "|".join(CITIES)
     town = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), rf"^(?:(?:{cities})市?[^\p{{L}}\p{{N}}]*)+(?=\p{{IsHan}})", ""), rf"(?:[^\p{{L}}\p{{N}}]*(?:{cities})市?)+[^\p{{L}}\p{{N}}]*$", "")
@@ -78,7 +78,7 @@ SELECT form, l AS len, k, i, substring(form, 1 + i * l div (k + 1) + s, (i + 1)
 FROM (SELECT form, l, k, i, explode(sequence(-k, k)) AS s
       FROM (SELECT form, l, k, explode(sequence(0, k)) AS i
             FROM (SELECT form, l, CASE WHEN l >= {long} THEN 2 ELSE 1 END AS k
-                  FROM (SELECT form, explode(sequence(greatest({short}, length(form) - 2), length(form) + 2)) AS l FROM {f} WHERE length(form) BETWEEN {short} - 1 AND 80))
+                  FROM (SELECT form, explode(sequence(greatest({short}, length(form) - 2), length(form) + 2)) AS l FROM {f} WHERE length(form) BETWEEN {short} - 1 AND (SELECT max(len) + 2 FROM {s})))
             WHERE abs(l - length(form)) <= k))
 WHERE 1 + i * l div (k + 1) + s >= 1 AND 1 + i * l div (k + 1) + s <= length(form)
 """
@@ -104,7 +104,7 @@ def match(values: DataFrame, column: str, ref: DataFrame, short: int = SHORT, lo
     rest = t.join(exact.select("value"), "value", "left_anti")
     f = rest.select("form").distinct()
     s = spark.sql(_SEGMENTS, r=r, long=long, short=short)
-    w = spark.sql(_WINDOWS, f=f, long=long, short=short)
+    w = spark.sql(_WINDOWS, f=f, s=s, long=long, short=short)
     near = rest.join(spark.sql(_NEAR, w=w, s=s), "form").select("value", "code", "d", "swapped")
     hits = exact.select("value", "code", "d", F.lit(True).alias("swapped")).unionByName(near)
     best = spark.sql(_BEST, m=hits)

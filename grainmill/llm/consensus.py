@@ -5,7 +5,7 @@ true choice weighs each answer by what its author's answers mean over all tasks.
 agreement (Krippendorff's alpha for nominal data, and Fleiss-style observed agreement) is reported separately.
 
 A round is one pass over the votes (one array row a task) that sums expected counts per annotator; the driver holds only the
-confusion matrices, whose size is the number of annotators times 36.
+confusion matrices: 288 bytes a person, whatever the number of tasks and answers.
 
 Defined results: NULL, blank and cut-off JSON, cancelled answers and answers without a choice or created_at count as absent; a task's
 latest sync with readable JSON and a person's latest answer count (ties: the larger id); tasks with fewer than two answers get no
@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from grainmill.functions.chars import narrow, trim_all
 from grainmill.sources.shared import cut
@@ -74,18 +74,19 @@ def _posterior(people: list[np.ndarray], codes: list[np.ndarray], log_prior: np.
 
 def fit(v: DataFrame, smooth: float = SMOOTH, rounds: int = ROUNDS, tol: float = 1e-5) -> tuple[Fit, DataFrame]:
     """(the fit, tasks with their answers as arrays task_id, p ARRAY<INT>, c ARRAY<INT>).  An empty table gives a fit without people."""
-    people = [r["person"] for r in v.select("person").distinct().orderBy("person").collect()]  # bounded by the number of annotators
-    k, m = len(CODES), len(people)
-    who = F.create_map(*[x for i, p in enumerate(people) for x in (F.lit(p), F.lit(i))]) if people else F.create_map(F.lit(""), F.lit(0))
+    k = len(CODES)
+    numbered = cut(v.select("person").distinct().select("person", (F.row_number().over(W.orderBy("person")) - 1).alias("p")))
+    people = numbered.orderBy("p").toArrow().column(0).to_pylist()  # one row a person
+    m = len(people)
     code = F.create_map(*[x for i, p in enumerate(CODES) for x in (F.lit(p), F.lit(i))])
-    rows = v.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(who[F.col("person")].alias("p"), code[F.col("code")].alias("c")))).alias("v")).select("task_id", F.transform("v", lambda x: x["p"]).alias("p"), F.transform("v", lambda x: x["c"]).alias("c"))
+    rows = v.join(numbered, "person").groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("p", code[F.col("code")].alias("c")))).alias("v")).select("task_id", F.transform("v", lambda x: x["p"]).alias("p"), F.transform("v", lambda x: x["c"]).alias("c"))
     tasks = cut(rows)
     base = (np.full((k, k), 0.3 / (k - 1)) + np.eye(k) * (0.7 - 0.3 / (k - 1))) * smooth
     conf = np.tile(base / base.sum(axis=1, keepdims=True), (m, 1, 1))
     prior = np.full(k, 1.0 / k)
     if not m:
         return Fit([], prior, conf, 0, 0.0), tasks
-    shape = T.StructType([T.StructField("s", T.ArrayType(T.DoubleType()))])
+    shape = "pos bigint, x double"
     ll_old, ll, r = -np.inf, -np.inf, 0
     for r in range(1, rounds + 1):
         lp, lc = np.log(prior), np.log(conf)
@@ -102,11 +103,15 @@ def fit(v: DataFrame, smooth: float = SMOOTH, rounds: int = ROUNDS, tol: float =
                 np.add.at(total, (np.concatenate(list(f["p"])), slice(None), np.concatenate(list(f["c"]))), post[row])
                 mass += post.sum(axis=0)
                 like += float(l1.sum())
-            yield pd.DataFrame({"s": [np.concatenate([total.ravel(), mass, [like]]).tolist()]})
+            flat = np.concatenate([total.ravel(), mass, [like]])
+            some = np.flatnonzero(flat)
+            yield pd.DataFrame({"pos": some, "x": flat[some]})
 
         got = tasks.select("p", "c").mapInPandas(sums, shape)
-        # element-wise sum of one small vector per task
-        summed = got.select(F.posexplode("s")).groupBy("pos").agg(F.sum("col").alias("x")).orderBy("pos").toPandas()["x"].to_numpy()
+        # sums of what is not zero
+        sums_at = got.groupBy("pos").agg(F.sum("x").alias("x")).toArrow()
+        summed = np.zeros(m * k * k + k + 1)
+        summed[sums_at.column("pos").to_numpy()] = sums_at.column("x").to_numpy()
         total, mass, ll = summed[: m * k * k].reshape(m, k, k), summed[m * k * k : -1], float(summed[-1])
         conf = (total + base) / (total + base).sum(axis=2, keepdims=True)
         prior = (mass + 1.0) / (mass + 1.0).sum()
@@ -140,7 +145,7 @@ def reliability(v: DataFrame, f: Fit) -> DataFrame:
     acc = {p: float((f.prior * np.diagonal(f.confusion[i])).sum()) for i, p in enumerate(f.people)}
     spark = v.sparkSession
     acc_df = spark.createDataFrame(list(acc.items()), "person string, reliability double")
-    return v.groupBy("person").agg(F.count("*").alias("n_answers")).join(F.broadcast(acc_df), "person").withColumn("reliability", F.round("reliability", 6))
+    return v.groupBy("person").agg(F.count("*").alias("n_answers")).join(acc_df, "person").withColumn("reliability", F.round("reliability", 6))
 
 
 def agreement(v: DataFrame) -> DataFrame:
@@ -155,11 +160,10 @@ def agreement(v: DataFrame) -> DataFrame:
     n = F.col("n_answers")
     out = a.withColumns({"observed": F.try_divide("same", n), "expected": F.try_divide(F.col("sq"), n * (n - 1))})
     tasks = per.agg(F.count("*").alias("n_tasks"))
-    return out.join(tasks).select("n_tasks", F.coalesce(n, F.lit(0)).alias("n_answers"), F.round("observed", 6).alias("observed"), F.round("expected", 6).alias("expected"), F.round(F.try_divide(F.col("observed") - F.col("expected"), 1 - F.col("expected")), 6).alias("alpha"))
+    return out.select(tasks.scalar().alias("n_tasks"), F.coalesce(n, F.lit(0)).alias("n_answers"), F.round("observed", 6).alias("observed"), F.round("expected", 6).alias("expected"), F.round(F.try_divide(F.col("observed") - F.col("expected"), 1 - F.col("expected")), 6).alias("alpha"))
 
 
 def found(tasks: DataFrame) -> DataFrame:
     """task_id BIGINT, choice_code."""
-    v = votes(tasks)
-    f, rows = fit(v)
+    f, rows = fit(cut(votes(tasks)))
     return consensus(rows, f).select("task_id", "choice_code")

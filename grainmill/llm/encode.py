@@ -5,7 +5,7 @@ The most frequent words go into a transducer (:mod:`grainmill.llm.lexicon`); wor
 The lexicon's size changes the speed alone, never the ids.
 
 Defined results: NULL and empty texts have no ids (an empty list); white space and odd characters are encoded like any text; strings
-of special tokens are ordinary text; equal rows give one row; extra columns are ignored.
+of special tokens are ordinary text; equal rows give one row, different texts under one key a row each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -153,6 +153,17 @@ def spread(flat: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return flat[np.repeat(lo - before, n) + np.arange(total)]
 
 
+def unique_rows(df: DataFrame) -> DataFrame:
+    """``df`` (key, text) with equal rows once.  Only rows whose hashes meet are compared whole; all others pass without a shuffle of texts."""
+    key, text = df.columns
+    again = cut(df.groupBy(F.xxhash64(key, text).alias("_h")).count().filter("count > 1").select("_h"))
+    if not again.limit(1).count():
+        return df
+    both = df.withColumn("_h", F.xxhash64(key, text))
+    once = both.join(again, "_h", "left_anti").drop("_h")
+    return once.unionByName(both.join(again, "_h", "left_semi").drop("_h").distinct())
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str | None = None, lexicon: str | None = None) -> DataFrame:
     """``key`` and ids ARRAY<INT> of each row of ``docs``."""
     ranks = ranks or default_ranks()
@@ -168,12 +179,12 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
                 rows = np.concatenate([[0], np.cumsum(per_row)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(tokens[rows], pa.int32()), pa.array(ids, pa.int32()))], [key, "ids"])
 
-    src = docs.select(F.col(key), F.col(text).alias("_t"))
+    src = unique_rows(docs.select(F.col(key), F.col(text).alias("_t")))
     return src.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, ids array<int>")
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str | None = None) -> DataFrame:
-    """``key`` and tokens BIGINT of each row; NULL and empty texts have 0."""
+    """``key``, copy (a hash of the text) and tokens BIGINT of each distinct row; NULL and empty texts have 0."""
     ranks = ranks or default_ranks()
 
     def run(batches):
@@ -182,7 +193,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks
             for i, j, data, at, end, per_row in batch_words(b.column(1), classes):
                 tokens = np.concatenate([[0], np.cumsum(sizes.of(data, at, end))])
                 rows = np.concatenate([[0], np.cumsum(per_row)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(tokens[rows]), pa.int64())], [key, "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(tokens[rows]), pa.int64())], [key, "copy", "tokens"])
 
-    src = docs.select(F.col(key), F.col(text).alias("_t"))
-    return src.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, tokens bigint")
+    src = unique_rows(docs.select(F.col(key), F.col(text).alias("_t"))).withColumn("copy", F.xxhash64("_t"))
+    return src.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, copy bigint, tokens bigint")

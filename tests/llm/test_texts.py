@@ -137,3 +137,54 @@ def test_nothing_else_imports_this_subpackage():
 
 def test_merger_is_shared():
     assert Merger.of(encode.default_ranks()) is Merger.of(encode.default_ranks())
+
+
+RARE = [chr(0x20000 + i * 7 % 40000) for i in range(2000)]
+HARD = ["".join(RARE), "é" * 3000, "a" * 5000 + " b " + "字" * 900, " " * 4000 + "x", "".join(random.choice("x é字𠀀") for _ in range(3000)), LONG[0] * 5]
+
+
+@pytest.mark.parametrize("width,segment", [(512, 400), (1 << 20, 1 << 18)])
+def test_overlap_is_kept_where_nothing_pauses(spark, plain, width, segment, monkeypatch):
+    monkeypatch.setattr(pieces, "HALO", 256)
+    docs = spark.createDataFrame(list(enumerate(HARD)), "doc_id bigint, text string")
+    got = pieces.split(docs, limit=200, overlap=90, width=width, segment=segment).toPandas().sort_values(["doc_id", "piece"])
+    assert set(got["doc_id"]) == set(range(len(HARD)))
+    for k, g in got.groupby("doc_id"):
+        t, a, b = HARD[k], g["from_char"].tolist(), g["to_char"].tolist()
+        assert a[0] == 0 and b[-1] == len(t) and g["piece"].tolist() == list(range(len(g)))
+        assert g["tokens"].tolist() == [len(plain(t[x:y])) for x, y in zip(a, b)] and g["tokens"].max() <= 200
+        assert min([len(plain(t[x:y])) for x, y in zip(a[1:], b)] or [99]) >= 90
+
+
+def test_files_by_byte_ranges(spark, plain, tmp_path):
+    text = "".join(random.choice([LONG[0], HARD[1][:50], "Ein Satz. ", "\n\n", "字" * 30]) for _ in range(60))
+    for name, t in (("a.txt", text), ("b.txt", ""), ("c.txt", "kurz")):
+        (tmp_path / name).write_text(t)
+    (tmp_path / "d.txt").write_bytes("ab字".encode()[:-1] + b"\xff" + "字".encode())
+    got = pieces.split_files(spark, [f"file://{tmp_path}/{x}.txt" for x in "abcd"], limit=120, overlap=12, width=1000, segment=700).toPandas().sort_values(["path", "piece"])
+    by = {p[-5]: g for p, g in got.groupby("path")}
+    assert set(by) == {"a", "c", "d"} and by["c"]["piece_text"].tolist() == ["kurz"] and by["d"]["piece_text"].tolist() == ["ab???字"]
+    a, b = by["a"]["from_char"].tolist(), by["a"]["to_char"].tolist()
+    assert a[0] == 0 and b[-1] == len(text) and by["a"]["piece_text"].tolist() == [text[x:y] for x, y in zip(a, b)]
+    assert by["a"]["tokens"].tolist() == [len(plain(text[x:y])) for x, y in zip(a, b)] and by["a"]["tokens"].max() <= 120
+    assert min(len(plain(text[x:y])) for x, y in zip(a[1:], b)) >= 12
+
+
+def test_repeated_rows_and_keys(spark, plain):
+    rows = [(1, "eins"), (1, "eins"), (1, "zwei drei"), (None, "vier"), (None, "vier"), (None, "fünf " * 40), (2, None), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(str, encode.encode(docs).collect())) == sorted(map(str, {(k, t): r for k, t in rows for r in [encode.encode(spark.createDataFrame([(k, t)], docs.schema)).head()]}.values()))
+    for width in (8, 1000):
+        got = [(r["doc_id"], r["piece_text"]) for r in pieces.split(docs, width=width).collect()]
+        assert sorted(got, key=str) == sorted({x for x in rows if x[1]}, key=str)
+    got = pack.pack_documents(docs, capacity=32).collect()
+    assert sum(r["size"] for r in got) == sum(len(plain(t)) for _, t in set(rows) if t) and {r["n_parts"] for r in got} == {1, -(-len(plain("fünf " * 40)) // 32)}
+
+
+def test_packing_goes_on_until_one_region_is_left(spark):
+    sizes = [(f"i{k}", 10 + k * 37 % 90) for k in range(4000)]
+    got = pack.pack(spark.createDataFrame(sizes, "item string, size bigint"), 1000, region=40).toPandas()
+    fill = got.groupby("container")["size"].sum()
+    assert len(fill) <= -(-sum(s for _, s in sizes) // 1000) + 2
+    wide = pack.pack(spark.createDataFrame([(f"w{k}", 600) for k in range(300)], "item string, size bigint"), 1000, region=40).toPandas()
+    assert wide["container"].nunique() == 300
