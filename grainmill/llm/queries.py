@@ -23,7 +23,12 @@ def p1_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(s: SparkSession, d: str) -> DataFrame:
-    return overlap.report(*_splits(s, d))
+    return overlap.report(p1_records(s, d))
+
+
+def p1_records(s: SparkSession, d: str) -> DataFrame:
+    """Each evaluation record with the training texts it overlaps, counted, and its coverage."""
+    return overlap.records(*_splits(s, d))
 
 
 def p2_found(s: SparkSession, d: str) -> DataFrame:
@@ -71,7 +76,7 @@ def p10_pieces(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_reliability, p2_agreement, p5_found, p6_found, p6_groups, p7_found, p8_ids, p9_containers, p10_pieces)
+    f.__name__: f for f in (p1_found, p1_report, p1_records, p2_found, p2_reliability, p2_agreement, p5_found, p6_found, p6_groups, p7_found, p8_ids, p9_containers, p10_pieces)
 }
 
 #: The operators above are checked by brute force, exact round trips and planted cases in tests/llm; SQL states only what is plain counting.

@@ -6,7 +6,9 @@ import random
 import pytest
 
 pytest.importorskip("grainmill.llm")
-from grainmill.llm import names, nearcopies, overlap  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from grainmill.llm import automaton, names, nearcopies, overlap  # noqa: E402
 
 random.seed(5)
 OBJECTS = ["库存台账", "退货工单", "广告投放", "会员投诉", "设备巡检", "质检报告", "客户回访", "排产计划", "合同评审", "接口联调"]
@@ -89,15 +91,38 @@ def test_overlap_against_brute_force(spark):
     mk = lambda rows: spark.createDataFrame([(*r, 1) for r in rows], "row_id bigint, text string, source string, t int")
     tr, va, te = mk(train), mk(ev[:12]), mk(ev[12:] + ev[:1])
     got = {tuple(r) for r in overlap.found(tr, va, te).collect()}
+    def by(t, other):
+        """Characters of the clauses of ``t`` that passages of ``other`` cover."""
+        n = 0
+        for c in overlap.clauses(t):
+            k = min(len(c), overlap.GRAM)
+            hit = [False] * len(c)
+            for i in range(len(c) - k + 1):
+                if c[i : i + k] in other:
+                    hit[i : i + k] = [True] * k
+            n += sum(hit)
+        return n
+
+    def back(t, y):
+        hit = [False] * len(t)
+        for c in overlap.clauses(y):
+            k = min(len(c), overlap.GRAM)
+            for i in range(len(c) - k + 1):
+                p = t.find(c[i : i + k])
+                while p >= 0:
+                    hit[p : p + k] = [True] * k
+                    p = t.find(c[i : i + k], p + 1)
+        return sum(hit)
+
     want = set()
     for a, x, _ in train:
         for b, y, _ in ev:
             if x and y and len(x) > 40 and len(y) > 40:
-                g, h = overlap.grams(overlap.normal(x)), overlap.grams(overlap.normal(y))
-                if len(g & h) >= overlap.SHARED * max(len(g), len(h)):
+                n, m = overlap.normal(x), overlap.normal(y)
+                if min(by(y, n), back(n, y)) >= overlap.WORDING * max(len(n), len(m)):
                     want.add((min(a, b), max(a, b)))
     assert got == want and len(want) >= 10
-    rep = {(r["split"], r["source"]): (r["n_rows"], r["n_overlapping"]) for r in overlap.report(tr, va, te).collect()}
+    rep = {(r["split"], r["source"]): (r["n_rows"], r["n_overlapping"]) for r in overlap.report(overlap.records(tr, va, te)).collect()}
     assert sum(n for n, _ in rep.values()) == len(ev) + 1 and sum(m for _, m in rep.values()) >= len(want)
     assert overlap.found(tr.limit(0), va, te).count() == 0 and overlap.found(tr, va.limit(0), te.limit(0)).count() == 0
 
@@ -110,6 +135,31 @@ def test_overlap_shards_lose_nothing(spark):
     assert {(i, 100 + i) for i in range(9)} <= got
 
 
+def test_overlap_of_punctuation_alone_and_of_many_copies(spark):
+    text = "；".join(posting(6))
+    train = [(i, text) for i in range(300)] + [(400, "-" * 50), (401, "!" * 60), (402, "。，" * 30)]
+    ev = [(1000 + i, text + "。") for i in range(200)] + [(2000, "-" * 45), (2001, "!" * 70)]
+    mk = lambda rows: spark.createDataFrame(rows, "row_id bigint, text string").withColumn("source", F.lit(None).cast("string"))
+    got = {tuple(r) for r in overlap.found(mk(train), mk(ev[:50]), mk(ev[50:])).collect()}
+    assert got == {(i, 1000 + j) for i in range(300) for j in range(200)}
+    rows = {r["row_id"]: (r["n_train_texts"], r["coverage"]) for r in overlap.records(mk(train), mk(ev[:50]), mk(ev[50:])).collect()}
+    assert rows[1000] == (1, 1.0) and rows[2000] == (0, 0.0) and len(rows) == len(ev)
+
+
+def test_automaton_finds_all_passages():
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("甲乙丙", k=rnd.randint(1, 9))) for _ in range(60)]
+    m = automaton.build(words)
+    texts = ["".join(rnd.choices("甲乙丙丁", k=n)) for n in (0, 1, 4, 5, 300, 700)] + ["丁"]
+    passages = {w[i : i + 5] for w in words for i in range(max(1, len(w) - 4))}
+    got = set()
+    for x, e, s in zip(*automaton.scan(m, texts, lane=64)):
+        p = int(m["place"][m["at"][s]])
+        got.add((int(x), int(e), int(m["long_at"][p])))
+    want = {(x, i + len(p) - 1, len(p)) for x, t in enumerate(texts) for p in passages for i in range(len(t) - len(p) + 1) if t[i : i + len(p)] == p}
+    assert got == want
+
+
 def test_overlap_with_clauses_shuffled(spark):
     rnd = random.Random(3)
     own = lambda n: ["".join(chr(rnd.randint(0x4E00, 0x9000)) for _ in range(rnd.randint(6, 10))) for _ in range(n)]
