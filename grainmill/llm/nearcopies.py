@@ -6,7 +6,7 @@ global order, rare ones first, two texts that share ``SHARED`` of the longer one
 and from either on each text must hold enough weight.  Each class is indexed under all pairs of its clauses that can be these
 two, and under each clause that suffices alone, so no pair is lost, however common its clauses are; the order only decides
 how many candidates there are.  A bucket of more than ``BUCKET`` classes is split by the third shared clause, by the
-same argument, where that leaves fewer pairs, and is dealt in blocks otherwise.  Pairs that meet are verified exactly on the
+same argument, where that leaves fewer pairs, and is dealt in blocks of ``BUCKET`` otherwise; no row ever holds more.  Pairs that meet are verified exactly on the
 clauses.
 
 Records with the same clauses form one class; pairs are found between classes and expanded to records only
@@ -27,12 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from grainmill.sources.shared import cut
+from grainmill.operators.graph import components
+from grainmill.sources.shared import cut, drop_cut
 
 BUCKET = 200  #: Classes of a bucket beyond which it is split.
 SHARED = 0.6  #: Least share of wording, by length of shared clauses against the longer text: between "less than about half" and "two thirds".
 BINS = 1 << 20  #: Bins of the histogram of clauses that gives their order, whatever the number of clauses.
+CHUNK = 16_000  #: Most characters of one number of :func:`tokens`.
 LEAST_CHARS = 40
 
 _TAG = re.compile(r"<[^<>]{0,200}>")
@@ -52,39 +55,47 @@ def clauses(text: str) -> list[str]:
     return out
 
 
-def _hash(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=4).digest(), "little", signed=True)
+def tokens(cs: list[str], memo: dict[str, int]) -> list[int]:
+    """The clauses as distinct ascending numbers: 50 bits of a hash and, in the last 14, the clause's characters.
+
+    The second and later places of a clause are numbers of their own, so of a repeated clause as many places are shared as both texts have.  What
+    is longer than ``CHUNK`` characters gives one number for each ``CHUNK`` of them: no length is clipped.
+    """
+    out, seen = [], {}
+    for c in cs:
+        h = memo.get(c)
+        if h is None:
+            if len(memo) > 500_000:
+                memo.clear()
+            h = memo[c] = int.from_bytes(hashlib.blake2b(c.encode(), digest_size=8).digest(), "little")
+        n, part = len(c), seen.get(c, 0)
+        while n > 0:
+            x = (h + part * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 14 << 14 | min(n, CHUNK)
+            out.append(x - (1 << 64) if x >> 63 else x)
+            n, part = n - CHUNK, part + 1
+        seen[c] = part
+    return sorted(out)
 
 
 def featured(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, cls (a 64-bit hash of the sorted clauses), cl ARRAY<INT> and ln ARRAY<SMALLINT> (distinct clause hashes and the characters each covers) of each row long enough."""
+    """key, cls (a 64-bit hash of the clauses as they are, sorted) and cl ARRAY<BIGINT> (:func:`tokens`) of each row long enough."""
 
     def run(batches):
         memo: dict[str, int] = {}
         for b in batches:
-            keys, kept, cls, cl, ln = b.column(0), [], [], [], []
+            keys, kept, cls, cl = b.column(0), [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 if t is None or len(t) < LEAST_CHARS:
                     continue
-                size: dict[int, int] = {}
-                for c in clauses(t):
-                    h = memo.get(c)
-                    if h is None:
-                        if len(memo) > 500_000:
-                            memo.clear()
-                        h = memo[c] = _hash(c)
-                    size[h] = size.get(h, 0) + len(c)
-                if not size:
+                cs = sorted(clauses(t))
+                if not cs:
                     continue
-                hs = sorted(size)
                 kept.append(i)
-                both = np.array([hs, [size[h] for h in hs]], np.int32).tobytes()
-                cls.append(int.from_bytes(hashlib.blake2b(both, digest_size=8).digest(), "little", signed=True))
-                cl.append(hs)
-                ln.append([min(size[h], 32000) for h in hs])
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(kept, pa.int64())), pa.array(cls, pa.int64()), pa.array(cl, pa.list_(pa.int32())), pa.array(ln, pa.list_(pa.int16()))], ["key", "cls", "cl", "ln"])
+                cls.append(int.from_bytes(hashlib.blake2b("\n".join(cs).encode(), digest_size=8).digest(), "little", signed=True))
+                cl.append(tokens(cs, memo))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(kept, pa.int64())), pa.array(cls, pa.int64()), pa.array(cl, pa.list_(pa.int64()))], ["key", "cls", "cl"])
 
-    return df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL").mapInArrow(run, "key string, cls bigint, cl array<int>, ln array<smallint>")
+    return df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL").mapInArrow(run, "key string, cls bigint, cl array<bigint>")
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,11 +106,10 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _tokens(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, clause with its length in one number, length and histogram bin of each clause of a batch."""
+    """Row, number, characters and histogram bin of each clause of a batch."""
     size = np.asarray(b.column("cl").value_lengths())
-    ln = b.column("ln").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    tok = (b.column("cl").flatten().to_numpy(zero_copy_only=False).astype(np.int64) << 16) | ln
-    return np.repeat(np.arange(len(size)), size), tok, ln, _mix(tok, tok) & (BINS - 1)
+    tok = b.column("cl").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(size)), size), tok, tok & 0x3FFF, _mix(tok, tok) & (BINS - 1)
 
 
 class _Ordered:
@@ -152,14 +162,14 @@ def _histogram(feat: DataFrame) -> np.ndarray:
         for i in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(n[at[i : i + (1 << 16)]])], ["bin", "n"])
 
-    t = feat.select("cl", "ln").mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # at most ``BINS`` rows
+    t = feat.select("cl").mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # at most ``BINS`` rows
     out = np.zeros(BINS, np.int64)
     out[t.column("bin").to_numpy()] = t.column("n").to_numpy()
     return out
 
 
 def class_pairs(feat: DataFrame, shared: float = SHARED) -> DataFrame:
-    """cls_a < cls_b of classes that share at least ``shared`` of their wording.  ``feat``: cls, cl, ln, one row a class."""
+    """cls_a < cls_b of classes that share at least ``shared`` of their wording.  ``feat``: cls, cl, one row a class."""
     hist = feat.sparkSession.sparkContext.broadcast(_histogram(feat))
 
     def index(batches):
@@ -179,7 +189,12 @@ def class_pairs(feat: DataFrame, shared: float = SHARED) -> DataFrame:
                     for i, k, most in o.third(key, p, q):
                         yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(k), pa.array(ids[o.row[p[i]]]), pa.array(o.total[o.row[p[i]]], pa.int32()), pa.array(most, pa.int32())], ["k0", "k", "id", "total", "most"])
 
-    members = F.array_sort(F.collect_list(F.struct("id", "total", "most"))).alias("g")
+    def blocks(df: DataFrame, *keys: str) -> DataFrame:
+        """``keys``, blk, g: the members of each key that has several, at most ``BUCKET`` in a row."""
+        w = W.partitionBy(*keys)
+        x = df.withColumns({"n": F.row_number().over(w.orderBy("id")), "more": F.lead("id").over(w.orderBy("id"))}).filter("n > 1 OR more IS NOT NULL")
+        x = x.withColumn("blk", F.floor((F.col("n") - 1) / BUCKET).cast("int"))
+        return x.groupBy(*keys, "blk").agg(F.collect_list(F.struct("id", "total", "most")).alias("g"))
 
     def cross(df: DataFrame) -> DataFrame:
         # a pair whose clauses from the key on cannot suffice has no place here
@@ -187,43 +202,58 @@ def class_pairs(feat: DataFrame, shared: float = SHARED) -> DataFrame:
         may = F.least("x.most", "y.most") >= shared * F.greatest("x.total", "y.total") - 1e-6
         return p.filter((F.col("x.id") < F.col("y.id")) & may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
-    def pairs_in(g: DataFrame) -> DataFrame:
-        small = g.filter(F.size("g") <= BUCKET).select(F.col("g").alias("x"), F.col("g").alias("y"))
-        block = lambda i: F.slice("g", F.col(i) * BUCKET + 1, F.lit(BUCKET))
-        last = F.floor((F.size("g") - 1) / BUCKET).cast("int")
-        large = g.filter(F.size("g") > BUCKET).select("g", F.explode(F.sequence(F.lit(0), last)).alias("i")).select("g", "i", F.explode(F.sequence("i", last)).alias("j"))
-        return cross(small).unionByName(cross(large.select(block("i").alias("x"), block("j").alias("y")).repartition(F.xxhash64("x", "y"))))
+    def block_pairs(g: DataFrame, *keys: str) -> DataFrame:
+        """Every block against itself and the later ones of its key, each pair of blocks a row of its own."""
+        both = g.select(*keys, F.col("blk").alias("i"), F.col("g").alias("x")).join(g.select(*keys, F.col("blk").alias("j"), F.col("g").alias("y")), list(keys)).filter("i <= j")
+        return cross(both.select("x", "y").repartition(F.xxhash64("x", "y")))
 
-    buckets = cut(feat.mapInArrow(index, "k bigint, id bigint, total int, most int").groupBy("k").agg(members).filter(F.size("g") > 1))
-    full = buckets.filter(F.size("g") > BUCKET)
+    buckets = cut(blocks(feat.mapInArrow(index, "k bigint, id bigint, total int, most int"), "k"))
+    full = buckets.filter("blk > 0").select("k").distinct()
     if full.limit(1).count():
-        each = full.select("k", F.explode("g.id").alias("cls")).distinct()
+        single = buckets.join(full, "k", "left_anti")
+        crowd = cut(buckets.join(full, "k"))
+        each = crowd.select("k", F.explode("g.id").alias("cls")).distinct()
         again = each.join(feat, "cls").mapInArrow(reindex, "k0 bigint, k bigint, id bigint, total int, most int")
-        again = cut(again.groupBy("k0", "k").agg(members).filter(F.size("g") > 1))
-        met = lambda c: F.size(c).cast("double") * (F.size(c) - 1)
-        cost = again.groupBy(F.col("k0").alias("k")).agg(F.sum(met("g")).alias("met"))
-        whole = full.select("k", met("g").alias("whole")).join(cost, "k", "left").filter(F.col("met") >= F.col("whole")).select("k")
-        pairs = pairs_in(buckets.filter(F.size("g") <= BUCKET)).unionByName(pairs_in(full.join(whole, "k", "left_semi")))
-        pairs = pairs.unionByName(pairs_in(again.join(whole.withColumnRenamed("k", "k0"), "k0", "left_anti")))
+        again = cut(blocks(again, "k0", "k"))
+        met = lambda c: c.cast("double") * (c - 1)
+        cost = again.groupBy("k0", "k").agg(F.sum(F.size("g")).alias("n")).groupBy(F.col("k0").alias("k")).agg(F.sum(met(F.col("n"))).alias("met"))
+        whole = crowd.groupBy("k").agg(F.sum(F.size("g")).alias("n")).join(cost, "k", "left").filter(F.col("met") >= met(F.col("n"))).select("k")
+        once = cross(single.select(F.col("g").alias("x"), F.col("g").alias("y")))
+        pairs = once.unionByName(block_pairs(crowd.join(whole, "k", "left_semi"), "k")).unionByName(block_pairs(again.join(whole.withColumnRenamed("k", "k0"), "k0", "left_anti"), "k0", "k"))
     else:
-        pairs = pairs_in(buckets)
+        pairs = cross(buckets.select(F.col("g").alias("x"), F.col("g").alias("y")))
     pairs = pairs.distinct()
-    side = lambda s: feat.select(F.col("cls").alias(s), F.col("cl").alias(f"cl_{s}"), F.col("ln").alias(f"ln_{s}"))
+    side = lambda s: feat.select(F.col("cls").alias(s), F.col("cl").alias(f"cl_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(_share("cl_a", "ln_a", "cl_b", "ln_b") >= shared).select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b"))
+    return both.filter(_share("cl_a", "cl_b") >= shared).select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b"))
 
 
-def _share(ca: str, la: str, cb: str, lb: str):
-    total = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y.cast("int"))
-    common = F.array_intersect(F.arrays_zip(F.col(ca).alias("h"), F.col(la).alias("l")), F.arrays_zip(F.col(cb).alias("h"), F.col(lb).alias("l")))
-    return F.aggregate(common, F.lit(0), lambda x, y: x + y["l"].cast("int")) / F.greatest(total(la), total(lb))
+def _share(a: str, b: str):
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda x, y: x + y.bitwiseAND(F.lit(0x3FFF)))
+    return total(F.array_intersect(a, b)) / F.greatest(total(F.col(a)), total(F.col(b)))
 
 
 def near_copies(df: DataFrame, key: str = "recruitment_record_id", text: str = "job_description_raw") -> tuple[DataFrame, DataFrame]:
     """(members, pairs): key and cls of each record; cls_a, cls_b of classes with nearly the same wording."""
     feat = cut(featured(df, key, text))
-    one = feat.groupBy("cls").agg(F.min(F.struct("cl", "ln")).alias("f")).select("cls", "f.cl", "f.ln")
-    return feat.select("key", "cls").distinct(), class_pairs(cut(one))
+    members = cut(feat.select("key", "cls").distinct())
+    one = cut(feat.groupBy("cls").agg(F.min("cl").alias("cl")))
+    drop_cut(feat)
+    return members, class_pairs(one)
+
+
+def groups(df: DataFrame, key: str = "recruitment_record_id", text: str = "job_description_raw") -> DataFrame:
+    """record_id, class_id, n_links, group_id of each record long enough, distinct.
+
+    A class has equal clauses; n_links counts the other classes with nearly the same wording, and a group is what links connect
+    (its smallest class), so near copies of near copies are together.
+    """
+    members, pairs = near_copies(df, key, text)
+    pairs = cut(pairs)
+    ends = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    linked = components(pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")), ends.select(F.col("cls").alias("id")))
+    x = ends.join(linked.withColumnRenamed("id", "cls"), "cls")
+    return members.join(x, "cls", "left").select(F.col("key").alias("record_id"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "cls").alias("group_id"))
 
 
 def found(df: DataFrame) -> DataFrame:

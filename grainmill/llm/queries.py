@@ -53,10 +53,8 @@ def p6_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p6_groups(s: SparkSession, d: str) -> DataFrame:
-    """record_id, class_id and n_links (other classes with nearly the same wording) of each record long enough."""
-    members, pairs = nearcopies.near_copies(table(s, d, JOBS, "recruitment_record_id", "job_description_raw"))
-    ends = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
-    return members.join(ends, "cls", "left").select(F.col("key").alias("record_id"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """record_id, class_id, n_links (other classes with nearly the same wording) and group_id of each record long enough."""
+    return nearcopies.groups(table(s, d, JOBS, "recruitment_record_id", "job_description_raw"))
 
 
 def p7_found(s: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 
@@ -40,12 +41,9 @@ def test_near_copies_against_brute_force(spark):
     got = {tuple(r) for r in nearcopies.found(df).collect()}
 
     def share(a, b):
-        ca, cb = {}, {}
-        for c, t in ((ca, a), (cb, b)):
-            for x in nearcopies.clauses(t):
-                c[x] = c.get(x, 0) + len(x)
-        common = sum(n for x, n in ca.items() if cb.get(x) == n)
-        return common / max(sum(ca.values()), sum(cb.values()))
+        ca, cb = Counter(nearcopies.clauses(a)), Counter(nearcopies.clauses(b))
+        size = lambda c: sum(n * len(x) for x, n in c.items())
+        return size(ca & cb) / max(size(ca), size(cb))
 
     long = [(k, t) for k, t in rows if t and len(t) >= nearcopies.LEAST_CHARS]
     want = {tuple(sorted((a, b))) for (a, x), (b, y) in itertools.combinations(long, 2) if share(x, y) >= nearcopies.SHARED}
@@ -74,6 +72,22 @@ def test_near_copies_in_one_large_group(spark):
     assert got == want and len(want) > 15_000
 
 
+def test_near_copies_form_groups(spark):
+    base = posting(12)
+    rows = [("a", "；".join(base)), ("b", "；".join(base[:10])), ("c", "；".join(base[:8])), ("d", "；".join(base[:6])), ("e", "。".join(base)), ("f", "；".join(posting(12))), ("g", None)]
+    got = {r["record_id"]: r for r in nearcopies.groups(spark.createDataFrame(rows, "recruitment_record_id string, job_description_raw string")).collect()}
+    assert set(got) == set("abcdef") and got["a"]["class_id"] == got["e"]["class_id"]
+    assert len({got[k]["group_id"] for k in "abcde"}) == 1 != len({got[k]["group_id"] for k in "af"})
+    assert got["f"]["n_links"] == 0 and got["a"]["n_links"] == 2 and got["d"]["n_links"] == 2
+
+
+def test_near_copies_with_giant_clauses(spark):
+    big = "".join(chr(0x4E00 + i % 5000) for i in range(50_000))
+    rows = [("a", big + "；" + "短句在此" * 3), ("b", big + "；" + "别的句子" * 3), ("c", big[::-1])]
+    assert [tuple(r) for r in nearcopies.found(spark.createDataFrame(rows, "recruitment_record_id string, job_description_raw string")).collect()] == [("a", "b")]
+    assert sum(t & 0x3FFF for t in nearcopies.tokens(nearcopies.clauses(rows[0][1]), {})) == 50_012
+
+
 def test_near_copies_empty(spark):
     df = spark.createDataFrame([], "recruitment_record_id string, job_description_raw string")
     assert nearcopies.found(df).count() == 0
