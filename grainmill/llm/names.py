@@ -1,13 +1,17 @@
 """Problem 7: variant spellings of firms' names.
 
 A name is read into city, trade and brand; whatever its order, brackets, width, script variant and legal form, equal readings are
-one node.  Nodes lie in a metric space: the distance is the edit distance of brands plus ``APART`` for another city and
-``APART`` for another trade (a sum of metrics, so the triangle inequality holds).  Pivots cut the space
+one node.  Cities and trades are looked up in tables that start from short lists and are learned from all names: what
+stands in brackets or before 市 and what the city column holds are cities; an ending is a trade where its first character is nearly always
+followed by the rest and what stands before it varies.  Nodes lie in a metric space: the distance is the edit distance of brands plus ``APART`` for another city and
+``APART`` for another trade (a sum of metrics, so the triangle inequality holds).  Pivots, in proportion to the root of the nodes around them, cut the space
 into cells; a node is replicated to every cell whose members the triangle inequality leaves within reach, and exact radius joins run inside
-the cells.  Edits that people make (one edit, two neighbours swapped, every other character kept) link two full
-readings; a reading without city or trade joins a firm if exactly one firm lies within reach of what it does say.
+the cells.  Edits that people make (one edit, two neighbours swapped, an abbreviation) link two full
+readings; a reading without city or trade joins a firm if exactly one firm lies within reach of what it does say; those that reach none are
+linked with one another.
 
-Defined results: NULL and blank names and placeholders for a withheld name are in no pair; a name without brand is in no pair; a reading that fits
+Defined results: NULL and blank names and placeholders for a withheld name are in no pair; a name without brand is its own brand; brands of one
+character link only where they are equal; a reading that fits
 several firms joins none; equal rows count once; extra columns are ignored.
 """
 
@@ -21,98 +25,152 @@ from grainmill.functions.chars import blank, narrow
 from grainmill.operators.graph import components
 from grainmill.sources.shared import cut
 
-# Cities, trades and legal forms, script variants.
+# Cities, trades and legal forms to start from, script variants.
 CITIES = "北京 上海 广州 深圳 杭州 南京 苏州 武汉 成都 重庆 西安 长沙 郑州 青岛 厦门 合肥 东莞 佛山 珠海 中山 惠州 江门 肇庆 汕头 湛江 天津 宁波 无锡 济南 福州 大连 沈阳 昆明 南宁 贵阳 南昌 香港".split()
 CITIES_EN = ["hong kong", "shanghai", "shenzhen", "guangzhou", "beijing", "hangzhou", "nanjing", "suzhou", "chengdu", "wuhan", "singapore"]
 TRADES = "教育咨询 餐饮管理 医疗器械 建筑工程 文化传媒 汽车服务 新能源 科技 食品 服饰 贸易 物流 网络 信息 制造 医药 金融 地产 旅游".split()
 TRADES_EN = ["foods", "logistics", "biotech", "consulting", "dynamics", "interactive", "technology", "trading", "education", "media", "energy", "software", "robotics"]
-LEGAL = r"(?:集团)?(?:股份有限公司|有限责任公司|有限责任公可|股份有限公可|有限公司|有限公可|公司|公可|集团)$"
+LEGAL = r"(?:集团)?(?:股份有限公司|有限责任公司|有限公司|公司|集团)$"
 LEGAL_EN = r"\b(?:co|ltd|limited|company|inc|corp|corporation|llc|gmbh|group|the)\b"
 WITHHELD = r"保密|匿名|^某|不便透露|不公开|未公开|暂不|^confidential|^undisclosed|^n/?a$|^未知$|^none$|^null$"
+NO_CITY = r"中国|集团|公司|控股|筹|原名|分店|总部"
 TRADITIONAL = ("東廣圖聯興澤業達華飛萬寧門慶長漢蘇車務貿醫療設築傳電龍鳳馬鵬鷹麥雲霧夢書學樂實寶時國園銅鐵鋼銀錦鴻鯤愛歲濟灣灘陽陳隊際雙雜難頭題願飲館", "东广图联兴泽业达华飞万宁门庆长汉苏车务贸医疗设筑传电龙凤马鹏鹰麦云雾梦书学乐实宝时国园铜铁钢银锦鸿鲲爱岁济湾滩阳陈队际双杂难头题愿饮馆")
 
 APART = 5  #: Distance between two cities, and between two trades: more than twice the radius.
 RADIUS = 2
-PIVOTS = 48
+HEADS = 5  #: Different beginnings that an ending needs to be learned as a trade.
 
 
-def read_names(names: DataFrame, column: str) -> DataFrame:
+def _rows(df: DataFrame, values: list[str], name: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([(v,) for v in values], f"{name} string")
+
+
+def _plain(c: Column) -> Column:
+    return F.translate(F.lower(narrow(c)), *TRADITIONAL)
+
+
+def _right(c: Column, k: int) -> Column:
+    return F.when(F.length(c) >= k, F.right(c, F.lit(k)))
+
+
+def _body(t: Column) -> Column:
+    """A Chinese name without blanks, brackets and legal form, one wrong character in the form allowed."""
+    s = F.regexp_replace(F.regexp_replace(t, r"(?U)\s", ""), r"[（(][^）)]*[)）]$", "")
+    cut_ = lambda k: F.regexp_replace(F.left(s, F.length(s) - k), r"(?:股份|集团)+$", "")
+    s = F.when(s.rlike(LEGAL), F.regexp_replace(s, LEGAL, "")).when(F.levenshtein(_right(s, 6), F.lit("有限责任公司")) <= 1, cut_(6)).when(F.levenshtein(_right(s, 4), F.lit("有限公司")) <= 1, cut_(4)).otherwise(s)
+    return F.regexp_replace(F.regexp_replace(s, r"[(\[（【][^)\]）】]*[)\]）】]", ""), r"[^\p{IsHan}a-z0-9]", "")
+
+
+def known_cities(x: DataFrame, places: DataFrame | None) -> DataFrame:
+    """city: the list's, those in brackets or before 市 in names (``x``: t), and those of ``places`` (place)."""
+    bracket = F.regexp_extract("t", r"[(\[（【](?:中国)?(\p{IsHan}{2,4}?)市?[)\]）】]", 1)
+    lead = F.regexp_extract("t", r"^(\p{IsHan}{2,3})市(?=\p{IsHan}{3})", 1)
+    out = _rows(x, CITIES, "city").unionByName(x.select(F.explode(F.array(bracket, lead)).alias("city")))
+    if places is not None:
+        p = F.regexp_replace(_plain(F.col("place")), r"^.*(?:省|自治区)", "")
+        out = out.unionByName(places.select(F.regexp_extract(p, r"^(\p{IsHan}{2,4}?)市", 1).alias("city")))
+    return out.filter(F.col("city").rlike(r"^\p{IsHan}{2,4}$") & ~F.col("city").rlike(NO_CITY)).distinct()
+
+
+def known_trades(b: DataFrame) -> DataFrame:
+    """trade: the list's, and the endings of bodies (``b``: rest, without their city) that many brands share."""
+    e = b.select("rest", F.explode(F.sequence(F.lit(1), F.least(F.lit(7), F.length("rest") - 2))).alias("k")).filter("k >= 1 AND length(rest) >= k + 2")
+    n = cut(e.select(F.expr("right(rest, k)").alias("s"), "rest").groupBy("s").agg(F.countDistinct("rest").alias("n")))
+    shorter = n.select(F.col("s").alias("tail"), F.col("n").alias("n_tail"))
+    longer = n.filter("length(s) > 1").groupBy(F.expr("substring(s, 2)").alias("s")).agg(F.max("n").alias("n_next"))
+    x = n.filter(f"length(s) BETWEEN 2 AND 6 AND n >= {HEADS}").join(shorter, F.expr("substring(s, 2)") == F.col("tail")).join(longer, "s", "left")
+    learned = x.filter((F.col("n") >= 0.5 * F.col("n_tail")) & (F.coalesce("n_next", F.lit(0)) < 0.5 * F.col("n")))
+    return _rows(b, TRADES, "trade").unionByName(learned.select(F.col("s").alias("trade"))).distinct()
+
+
+def _looked_up(x: DataFrame, candidates: Column, table: DataFrame, to: str) -> DataFrame:
+    """``x`` with ``to``: the first of its candidates (structs ordered by what comes first, the text last) that the table holds, or NULL."""
+    c = x.select("name", F.explode(F.array_compact(candidates)).alias("c"))
+    hit = c.join(table, F.col("c.text") == F.col(table.columns[0])).groupBy("name").agg(F.min("c").alias(to))
+    return x.join(hit, "name", "left")
+
+
+def read_names(names: DataFrame, column: str, places: str | None = None) -> DataFrame:
     """name, city, trade ('' if not said), brand of each distinct name that is a firm's."""
-    x = names.filter(~blank(F.col(column))).select(F.col(column).alias("name")).distinct()
-    t = F.translate(F.lower(narrow(F.col("name"))), *TRADITIONAL)
-    x = x.withColumn("_t", F.regexp_replace(F.regexp_replace(t, r"[·•・]", ""), r"(?U)^\s+|\s+$", "")).filter(~F.col("_t").rlike(WITHHELD))
-    han = F.col("_t").rlike(r"\p{IsHan}")
-    # Chinese: strip the form at the end, find the city at an end or in brackets, then the trade at an end
-    cities, trades = "|".join(CITIES), "|".join(TRADES)
-    s = F.regexp_replace(F.regexp_replace(F.col("_t"), r"(?U)\s", ""), r"[（(][^）)]*[)）]$", "")
-    bracket = F.regexp_extract(F.col("_t"), rf"[(\[（【](?:中国)?({cities})市?[)\]）】]", 1)
-    body = F.regexp_replace(F.regexp_replace(s, LEGAL, ""), r"[(\[（【][^)\]）】]*[)\]）】]", "")
-    x = x.withColumns({"_han": han, "_bracket": bracket, "_body": F.regexp_replace(body, r"[^\p{IsHan}a-z0-9]", "")})
-    front = F.regexp_extract("_body", rf"^({cities})市?(?=.{{2}})", 1)
-    x = x.withColumns({"_front": F.when(F.col("_bracket") == "", front).otherwise(F.lit(""))})
-    x = x.withColumn("_b1", F.when(F.col("_front") != "", F.regexp_replace("_body", rf"^(?:{cities})市?", "")).otherwise(F.col("_body")))
-    back = F.regexp_extract("_b1", rf".{{2}}({cities})市?$", 1)
-    x = x.withColumns({"_back": F.when((F.col("_bracket") == "") & (F.col("_front") == ""), back).otherwise(F.lit(""))})
-    x = x.withColumn("_b2", F.when(F.col("_back") != "", F.regexp_replace("_b1", rf"(?:{cities})市?$", "")).otherwise(F.col("_b1")))
-    tail, head = F.regexp_extract("_b2", rf".({trades})$", 1), F.regexp_extract("_b2", rf"^({trades}).", 1)
-    x = x.withColumn("_tr", F.when(tail != "", tail).otherwise(head))
-    brand_cn = F.when(F.col("_tr") == "", F.col("_b2")).when(tail != "", F.expr("left(_b2, length(_b2) - length(_tr))")).otherwise(F.expr("substring(_b2, length(_tr) + 1)"))
-    city_cn = F.concat("_bracket", "_front", "_back")
+    x = cut(names.filter(~blank(F.col(column))).select(F.col(column).alias("name")).distinct())  # far fewer than rows: all reading starts here
+    t = F.regexp_replace(F.regexp_replace(_plain(F.col("name")), r"[·•・]", ""), r"(?U)^\s+|\s+$", "")
+    x = x.withColumn("t", t).filter(~F.col("t").rlike(WITHHELD))
+    han = cut(x.filter(F.col("t").rlike(r"\p{IsHan}")).withColumns({"body": _body(F.col("t")), "bracket": F.regexp_extract("t", r"[(\[（【](?:中国)?(\p{IsHan}{2,4}?)市?[)\]）】]", 1)}))
+    cities = cut(known_cities(han, None if places is None else names.select(F.col(places).alias("place")).distinct()))
+    cand = lambda first, k, text: F.struct(F.lit(first).alias("first"), F.lit(-k).alias("size"), text.alias("text"))
+    body, back = F.col("body"), F.regexp_replace("body", r"(?<=.{4})市$", "")
+    options = [F.when(F.col("bracket") != "", cand(0, 0, F.col("bracket")))]
+    options += [F.when(F.length("body") >= k + 2, cand(1, k, F.left(body, F.lit(k)))) for k in (2, 3, 4)] + [F.when(F.length(back) >= k + 2, cand(2, k, _right(back, k))) for k in (2, 3, 4)]
+    han = _looked_up(han, F.array(*options), cities, "_c")
+    city = F.coalesce(F.col("_c.text"), F.lit(""))
+    front = F.regexp_replace(F.substring(body, F.length(city) + 1, F.lit(1 << 20)), r"^市(?=.{2})", "")
+    rest = F.when(F.col("_c.first") == 1, front).when(F.col("_c.first") == 2, F.left(back, F.length(back) - F.length(city))).otherwise(body)
+    han = cut(han.select("name", city.alias("city"), rest.alias("rest"), F.col("t").rlike(r"公.$").alias("formal")))
+    trades = cut(known_trades(han.filter("formal").select("rest")))
+    r, short = F.col("rest"), F.when(F.col("rest").rlike(r"..公.$"), F.left("rest", F.length("rest") - 2))
+    options = [F.when(F.length("rest") > k, cand(first, k, x)) for k in range(2, 7) for first, x in ((0, _right(r, k)), (2, F.left(r, F.lit(k))))] + [F.when(F.length(short) > k, cand(1, k, _right(short, k))) for k in range(2, 7)]
+    han = _looked_up(han, F.array(*options), trades, "_t")
+    trade = F.coalesce(F.col("_t.text"), F.lit(""))
+    brand = F.when(F.col("_t.first") == 0, F.left(r, F.length(r) - F.length(trade))).when(F.col("_t.first") == 1, F.left(short, F.length(short) - F.length(trade))).when(F.col("_t.first") == 2, F.substring(r, F.length(trade) + 1, F.lit(1 << 20))).otherwise(r)
+    cn = han.select("name", "city", trade.alias("trade"), brand.alias("brand"))
     # Latin: the words left after forms, city and trade are the brand
+    e = F.trim(F.regexp_replace(F.regexp_replace(F.col("t"), r"[^a-z0-9]+", " "), LEGAL_EN, " "))
     cities_en = "|".join(CITIES_EN)
-    e = F.trim(F.regexp_replace(F.regexp_replace(F.col("_t"), r"[^a-z0-9]+", " "), LEGAL_EN, " "))
-    x = x.withColumn("_e", F.regexp_replace(e, " +", " ")).withColumn("_ce", F.regexp_extract("_e", rf"\b({cities_en})\b", 1))
-    words = F.filter(F.split(F.trim(F.regexp_replace("_e", rf"\b(?:{cities_en})\b", " ")), " +"), lambda w: w != "")
-    x = x.withColumn("_w", words)
+    y = x.filter(~F.col("t").rlike(r"\p{IsHan}")).withColumn("_e", F.regexp_replace(e, " +", " "))
+    inside = F.trim(F.regexp_replace(F.regexp_extract("t", r"\(([a-z][a-z .-]{2,})\)", 1), r"[^a-z]+", " "))
+    inside = F.when((inside != "") & ~inside.rlike(rf"\b(?:{'|'.join(TRADES_EN)})\b|{LEGAL_EN}"), inside)
+    y = y.withColumn("_ce", F.coalesce(inside, F.regexp_extract("_e", rf"\b({cities_en})\b", 1)))
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.concat(F.lit(" "), "_e", F.lit(" ")), F.concat(F.lit(" "), F.when(F.col("_ce") == "", F.lit("\n")).otherwise(F.col("_ce")), F.lit(" ")), F.lit(" "))), " +"), lambda w: w != "")
+    y = y.withColumn("_w", words)
     known = F.array(*map(F.lit, TRADES_EN))
-    x = x.withColumn("_te", F.try_element_at(F.array_compact(F.transform("_w", lambda w: F.try_element_at(F.filter(known, lambda k: (k == w) | ((F.length(w) == 4) & k.startswith(w))), F.lit(1)))), F.lit(1)))
+    y = y.withColumn("_te", F.try_element_at(F.array_compact(F.transform("_w", lambda w: F.try_element_at(F.filter(known, lambda k: (k == w) | ((F.length(w) == 4) & k.startswith(w))), F.lit(1)))), F.lit(1)))
     glued = F.array_join(F.when(F.col("_te").isNull(), F.col("_w")).otherwise(F.filter("_w", lambda w: ~((w == F.col("_te")) | ((F.length(w) == 4) & F.col("_te").startswith(w))))), "")
-    x = x.withColumn("_g", glued)
+    y = y.withColumn("_g", glued)
     ending = F.regexp_extract("_g", rf"^.{{3,}}({'|'.join(TRADES_EN)})$", 1)
-    trade_en = F.coalesce("_te", ending)
     brand_en = F.when(F.col("_te").isNull() & (ending != ""), F.expr("left(_g, length(_g) - length(regexp_extract(_g, '(" + "|".join(TRADES_EN) + ")$', 1)))")).otherwise(F.col("_g"))
-    out = x.select("name", F.when(F.col("_han"), city_cn).otherwise(F.col("_ce")).alias("city"), F.when(F.col("_han"), F.col("_tr")).otherwise(trade_en).alias("trade"), F.when(F.col("_han"), brand_cn).otherwise(brand_en).alias("brand"))
-    return out.filter(F.length("brand") >= 2)
+    en = y.select("name", F.col("_ce").alias("city"), F.coalesce("_te", ending).alias("trade"), brand_en.alias("brand"), "_e")
+    en = en.select("name", "city", "trade", F.when(F.col("brand") == "", F.regexp_replace("_e", " ", "")).otherwise(F.col("brand")).alias("brand"))
+    return cn.unionByName(en).filter(F.col("brand") != "")
 
 
 def _distance(c1: Column, t1: Column, s1: Column, c2: Column, t2: Column, s2: Column) -> Column:
     return F.when(c1 != c2, APART).otherwise(0) + F.when(t1 != t2, APART).otherwise(0) + F.levenshtein(s1, s2)
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS) -> DataFrame:
-    """x, y, d: every pair of ``left`` (x) and ``right`` (y) at most ``radius`` apart.
+def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """x, y, sx, sy, d: every pair of ``left`` (x) and ``right`` (y) at most ``radius`` apart.
 
-    Both: id, city, trade, brand.  Pivots are ``pivots`` members of ``right``, spread over it by hash (a bounded sample; any choice
-    gives the same pairs).  A left member goes to its nearest pivot's cell; a right one to all cells p with d(y, p) <= reach(p) +
+    Both: id, city, trade, brand.  What differs in city or trade is further apart than the radius, so the space falls into blocks; of each
+    block of ``right`` as many members as the root of its size, spread by hash, are pivots (any choice gives the same pairs).  A
+    left member goes to its nearest pivot's cell; a right one to all cells p with d(y, p) <= reach(p) +
     radius, where reach(p) is the largest distance of a left member of the cell: by the triangle inequality no pair is lost.
     """
-    ps = right.orderBy(F.xxhash64("id")).limit(pivots).select("city", "trade", "brand").collect()
-    if not ps:
-        return left.limit(0).select(F.col("id").alias("x"), F.col("id").alias("y"), F.col("brand").alias("sx"), F.col("brand").alias("sy"), F.lit(0).alias("d"))
-    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("cts", p)]) for p in ps])
-    away = lambda: F.transform(table, lambda p: _distance(F.col("city"), F.col("trade"), F.col("brand"), p["c"], p["t"], p["s"]))
-    q = left.withColumn("_d", away()).withColumn("_near", F.array_min("_d")).withColumn("cell", F.array_position("_d", F.col("_near")) - 1)
-    q = q.select(F.col("id").alias("x"), F.col("city").alias("cx"), F.col("trade").alias("tx"), F.col("brand").alias("sx"), F.col("cell").cast("int").alias("cell"), "_near")
-    reach = {r["cell"]: r["m"] for r in q.groupBy("cell").agg(F.max("_near").alias("m")).collect()}  # at most ``pivots`` rows
-    limits = F.array(*[F.lit(int(reach[i]) + radius if i in reach else -1) for i in range(len(ps))])
-    cells = F.filter(F.transform(F.arrays_zip(away().alias("d"), limits.alias("m")), lambda z, i: F.when(z["d"] <= z["m"], i)), lambda i: i.isNotNull())
-    y = right.withColumn("cell", F.explode(cells)).select(F.col("id").alias("y"), F.col("city").alias("cy"), F.col("trade").alias("ty"), F.col("brand").alias("sy"), "cell")
-    near = q.join(y, "cell").filter((F.col("cx") == F.col("cy")) & (F.col("tx") == F.col("ty")) & (F.abs(F.length("sx") - F.length("sy")) <= radius)) if radius < APART else q.join(y, "cell")
-    return near.withColumn("d", _distance(F.col("cx"), F.col("tx"), F.col("sx"), F.col("cy"), F.col("ty"), F.col("sy"))).filter(F.col("d") <= radius).select("x", "y", "sx", "sy", "d")
+    if radius >= APART:
+        raise ValueError("the radius must be less than the distance of two cities")
+    w = W.partitionBy("city", "trade")
+    p = right.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(F.xxhash64("id"), "id"))}).filter("_i <= ceil(sqrt(_n))")
+    p = cut(p.select("city", "trade", F.col("id").alias("p"), F.col("brand").alias("sp")))
+    x = left.join(p, ["city", "trade"]).withColumn("_d", F.levenshtein("brand", "sp")).groupBy("id").agg(F.min(F.struct("_d", "p")).alias("m"), F.first("brand").alias("sx"))
+    x = cut(x.select(F.col("id").alias("x"), "sx", "m.p", F.col("m._d").alias("_near")))
+    reach = x.groupBy("p").agg(F.max("_near").alias("_reach"))
+    y = right.join(p.join(reach, "p"), ["city", "trade"]).filter(F.levenshtein("brand", "sp") <= F.col("_reach") + radius).select(F.col("id").alias("y"), F.col("brand").alias("sy"), "p")
+    near = x.select("x", "sx", "p").join(y, "p").filter(F.abs(F.length("sx") - F.length("sy")) <= radius)
+    return near.withColumn("d", F.levenshtein("sx", "sy", radius)).filter("d >= 0").select("x", "y", "sx", "sy", "d")
 
 
 def human_edit(s1: Column, s2: Column, d: Column) -> Column:
-    """Whether two brands at distance ``d`` differ as people make them differ: one edit, one swap, or every other character kept."""
+    """Whether two brands at distance ``d`` differ as people make them differ: one edit, one swap, or an abbreviation (half the characters or more, in order, the first among them)."""
     swap = (d == 2) & (F.length(s1) == F.length(s2)) & (F.array_sort(F.split(s1, "")) == F.array_sort(F.split(s2, "")))
     short, long = F.when(F.length(s1) < F.length(s2), s1).otherwise(s2), F.when(F.length(s1) < F.length(s2), s2).otherwise(s1)
-    skip = (d == 2) & (F.length(short) == 2) & (F.length(long) == 4) & (short == F.concat(F.substring(long, 1, 1), F.substring(long, 3, 1)))
+    fewer = F.length(long) - F.length(short)
+    skip = (d == 2) & (fewer == 2) & (F.length(short) >= 2) & (F.length(long) <= 2 * F.length(short)) & (F.left(short, F.lit(1)) == F.left(long, F.lit(1))) & short.rlike(r"^\p{IsHan}+$")
     one = (d == 1) & (F.length(long) >= 3)
     return (d == 0) | one | swap | skip
 
 
-def link(names: DataFrame, column: str = "company_name") -> DataFrame:
-    """name, firm: the firm (a number of its own) of each distinct name that is a firm's."""
-    read = cut(read_names(names, column).withColumn("id", F.xxhash64("city", "trade", "brand")))
+def link(names: DataFrame, column: str = "company_name", places: str | None = None) -> DataFrame:
+    """name, firm: the firm (a number of its own) of each distinct name that is a firm's.  ``places``: a column of cities to learn from."""
+    read = cut(read_names(names, column, places).withColumn("id", F.xxhash64("city", "trade", "brand")))
     nodes = cut(read.select("id", "city", "trade", "brand").distinct())
     full = nodes.filter("city <> '' AND trade <> ''")
     # full readings with one another; an abbreviation then joins the firm that it fits, if it fits one only
@@ -128,15 +186,17 @@ def link(names: DataFrame, column: str = "company_name") -> DataFrame:
     points = seen.select(F.col("k").alias("id"), "city", "trade", "brand").distinct()
     reach = radius_join(part, points).withColumn("ok", human_edit(F.col("sx"), F.col("sy"), F.col("d"))).filter("ok")
     reach = reach.join(seen.select(F.col("k").alias("y"), "firm"), "y").select("x", "firm", "d").distinct()
-    best = reach.withColumn("m", F.min("d").over(W.partitionBy("x"))).filter("d = m").groupBy("x").agg(F.min("firm").alias("f"), F.countDistinct("firm").alias("n"))
-    # what fits no firm is a firm by its own reading; what fits several joins none
-    joined = part.select("id").join(best.withColumnRenamed("x", "id"), "id", "left").filter("n IS NULL OR n = 1").select("id", F.coalesce("f", "id").alias("firm"))
-    out = firms.unionByName(joined)
+    best = cut(reach.withColumn("m", F.min("d").over(W.partitionBy("x"))).filter("d = m").groupBy("x").agg(F.min("firm").alias("f"), F.countDistinct("firm").alias("n")).withColumnRenamed("x", "id"))
+    # what fits no firm is linked with its like; what fits several joins none
+    alone = cut(part.join(best, "id", "left_anti"))
+    like = radius_join(alone, alone).filter(F.col("x") < F.col("y")).filter(human_edit(F.col("sx"), F.col("sy"), F.col("d")) & (F.col("d") < 2) | (F.length("sx") == F.length("sy")) & human_edit(F.col("sx"), F.col("sy"), F.col("d")))
+    own = components(like.select("x", "y"), alone).withColumnRenamed("component", "firm")
+    out = firms.unionByName(best.filter("n = 1").select("id", F.col("f").alias("firm"))).unionByName(own)
     return read.join(out, "id").select("name", "firm").distinct()
 
 
 def found(df: DataFrame) -> DataFrame:
     """name_a < name_b: different spellings of one firm.  A firm has a bounded number of spellings, its rows any number."""
-    x = cut(link(df.select("company_name")))
+    x = cut(link(df, places="work_city" if "work_city" in df.columns else None))
     a, b = x.toDF("name_a", "firm"), x.toDF("name_b", "firm")
     return a.join(b, "firm").filter("name_a < name_b").select("name_a", "name_b").distinct()

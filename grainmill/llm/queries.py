@@ -58,7 +58,7 @@ def p6_groups(s: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(s: SparkSession, d: str) -> DataFrame:
-    return names.found(table(s, d, JOBS, "company_name"))
+    return names.found(table(s, d, JOBS, "company_name", "work_city"))
 
 
 def p8_ids(s: SparkSession, d: str) -> DataFrame:

@@ -220,6 +220,19 @@ def test_radius_join_against_brute_force(spark):
                 prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
         return row[-1]
 
-    got = {(r["x"], r["y"]): r["d"] for r in names.radius_join(df, df, pivots=7).collect()}
+    got = {(r["x"], r["y"]): r["d"] for r in names.radius_join(df, df).collect()}
     want = {(a[0], b[0]): d for a in pts for b in pts for d in [names.APART * ((a[1] != b[1]) + (a[2] != b[2])) + lev(a[3], b[3])] if d <= names.RADIUS}
     assert got == want
+
+
+def test_names_learn_cities_and_link_partial_readings(spark):
+    rows = ["哈尔滨星河科技有限公司", "哈尔滨市星河科技有限公司", "星河科技（哈尔滨）有限公司", "上海星河科技有限公司", "上海市星河科技有限公司", "晨曦远帆网络", "晨曦远凡网络", "晨曦近帆金融", "亮公司", "亮有限公司", "深圳科技有限公司", "深圳市科技有限公司", "齐齐哈尔市北风贸易有限公司", "齐齐哈尔北风贸易公司"]
+    got = {tuple(r) for r in names.found(spark.createDataFrame([(n,) for n in rows], "company_name string")).collect()}
+    groups = [rows[:3], rows[3:5], rows[5:7], rows[8:10], rows[10:12], rows[12:]]
+    assert got == {(a, b) for g in groups for a in g for b in g if a < b}
+
+
+def test_trades_are_learned_from_endings(spark):
+    heads = ["".join(random.choices("甲乙丙丁戊己庚辛壬癸子丑寅卯", k=4)) for _ in range(40)]
+    df = spark.createDataFrame([(h + ("水产养殖" if i % 2 else "达园艺"),) for i, h in enumerate(heads)], "rest string")
+    assert {"水产养殖"} <= {r[0] for r in names.known_trades(df).collect()} - set(names.TRADES) <= {"水产养殖", "达园艺"}
