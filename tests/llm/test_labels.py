@@ -118,3 +118,11 @@ def test_pigeonhole_against_levenshtein(spark):
             if d <= k and (d <= 1 or sorted(a) == sorted(b) or len(b) >= 10):
                 want.add((a, f"c{i}"))
     assert got == want and want
+
+
+def test_values_of_any_length(spark):
+    ref = spark.createDataFrame([("1-01", True, "甲" * 40 + "质量检验员" + "乙" * 45, None, [], "制造人员")], "code string, is_terminal boolean, title string, title_clean string, aliases array<string>, occupation_middle_category string")
+    title = "甲" * 40 + "质量检验员" + "乙" * 45
+    wrong = title[:60] + "丙" + title[61:]
+    vals = spark.createDataFrame([(title,), (wrong,), ("长" * 20_000,), (f"【{'急' * 30}】{title}（{'注' * 50}）",)], "v string")
+    assert {r["value"][:8]: r["code"] for r in canonical.match(vals, "v", ref).collect()} == {title[:8]: "1-01", wrong[:8]: "1-01", "长" * 8: "", "【急急急急急急急": "1-01"}
