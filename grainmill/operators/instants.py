@@ -6,7 +6,7 @@ the local time gives the offset directly; a second matching interval means an am
 
 Defined results: NULL, blank and wordy texts, impossible dates and skipped times give no row; relative texts
 without created_at give no row; a feed that source_feeds lacks gives a row only where the text names
-its own zone; equal rows give one row; extra columns are ignored.
+its own zone; years from 1 to 9999 are read, with each zone's last rule beyond its table; equal rows give one row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,45 +29,49 @@ NOW = r"^(?:刚刚|刚才|just now)$"
 AGO = r"^(\d+) ?(天|日|小时|个小时|分钟|周|星期|days?|hours?|hrs?|minutes?|mins?|weeks?) ?(?:前|以前|之前|ago)$"
 UNIT_US = {"天": 86400, "日": 86400, "小时": 3600, "个小时": 3600, "分钟": 60, "周": 604800, "星期": 604800, "day": 86400, "hour": 3600, "hr": 3600, "minute": 60, "min": 60, "week": 604800}
 
-YEARS = (1990, 2060)  #: Years for which offset intervals are tabled: at most 4 rows a zone and year.
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+_FIRST, _LAST = datetime(1, 1, 3, tzinfo=timezone.utc), datetime(9999, 12, 29, tzinfo=timezone.utc)
 
 
-def zone_intervals(zones: list[str], years: tuple[int, int] = YEARS) -> tuple[list[tuple], list[tuple]]:
-    """Offset intervals (zone, year, local_from, local_to, offset_s) and abbreviations (zone, abbr, offset_s).
+def year_intervals(zones: list[str], years: list[int]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Offset intervals (zone, local year, local_from, local_to, offset_s), the same by UTC (zone, year, from, to, offset_s), and abbreviations (zone, abbr, offset_s).
 
-    local_from and local_to are microseconds of local time; an interval is repeated for each local year it touches.
-    The tables hold at most 4 rows a zone and year, and some 5 abbreviations a zone, whatever the data.
+    Times are microseconds.  Some 3 rows a zone and year asked for, and some 5 abbreviations a zone, whatever the data.
     """
-    rows, names = [], set()
-    known = available_timezones()
-    a0, z0 = datetime(years[0], 1, 1, tzinfo=timezone.utc), datetime(years[1], 1, 1, tzinfo=timezone.utc)
-    for name in sorted(set(zones) & known):
+    local, utc, names = set(), set(), set()
+    us = lambda t: int((t - _EPOCH).total_seconds()) * 1_000_000
+    for name in sorted(set(zones) & available_timezones()):
         z = ZoneInfo(name)
-        state = lambda u: (u.astimezone(z).utcoffset(), u.astimezone(z).tzname())
-        cuts, u = [(a0, *state(a0))], a0
-        while u < z0:
-            v = min(u + timedelta(days=14), z0)
-            if state(v) != state(u):
-                lo, hi = u, v
-                while hi - lo > timedelta(seconds=1):
-                    mid = lo + (hi - lo) / 2
-                    mid = mid.replace(microsecond=0) if mid.replace(microsecond=0) > lo else hi
-                    if mid == hi:
-                        break
-                    lo, hi = (mid, hi) if state(mid) == state(u) else (lo, mid)
-                cuts.append((hi, *state(hi)))
-            u = v
-        cuts.append((z0, None, None))
-        for (start, off, abbr), (end, _, _) in zip(cuts, cuts[1:]):
-            sec = int(off.total_seconds())
-            if abbr and abbr.isalpha():
-                names.add((name, abbr.upper(), sec))
-            lo, hi = start + off, end + off
-            us = lambda t: int((t - _EPOCH).total_seconds()) * 1_000_000
-            for y in range(lo.year, (hi - timedelta(microseconds=1)).year + 1):
-                rows.append((name, y, us(lo), us(hi), sec))
-    return rows, sorted(names)
+        state = lambda u: (u.astimezone(z).utcoffset(), u.astimezone(z).tzname())  # noqa: B023, E731
+        for y in sorted({y for y in years if 1 <= y <= 9999}):
+            a0 = max(_FIRST, datetime(y, 1, 1, tzinfo=timezone.utc) - timedelta(days=2)) if y > 1 else _FIRST
+            z0 = datetime(y + 1, 1, 3, tzinfo=timezone.utc) if y < 9999 else _LAST
+            cuts, u = [(a0, *state(a0))], a0
+            while u < z0:
+                v = min(u + timedelta(days=14), z0)
+                if state(v) != state(u):
+                    lo, hi = u, v
+                    while hi - lo > timedelta(seconds=1):
+                        mid = lo + timedelta(seconds=int((hi - lo).total_seconds()) // 2)
+                        lo, hi = (mid, hi) if state(mid) == state(u) else (lo, mid)
+                    cuts.append((hi, *state(hi)))
+                u = v
+            cuts.append((z0, None, None))
+            for (start, off, abbr), (end, _, _) in zip(cuts, cuts[1:]):
+                sec = int(off.total_seconds())
+                if abbr and abbr.isalpha():
+                    names.add((name, abbr.upper(), sec))
+                if (start + off).year <= y <= (end + off - timedelta(microseconds=1)).year:
+                    local.add((name, y, us(start + off), us(end + off), sec))
+                if start.year <= y <= (end - timedelta(microseconds=1)).year:
+                    utc.add((name, y, us(start), us(end), sec))
+    return sorted(local), sorted(utc), sorted(names)
+
+
+def zone_intervals(zones: list[str], years: tuple[int, int]) -> tuple[list[tuple], list[tuple]]:
+    """Offset intervals by local year and abbreviations, of the years from the first to the one before the last."""
+    local, _, names = year_intervals(zones, list(range(*years)))
+    return local, names
 
 
 def parse_fields(df: DataFrame, text: str = "publish_date", order: str = "date_order") -> DataFrame:
@@ -131,12 +135,12 @@ def _day_us(date: Column) -> Column:
 def asof_offset(df: DataFrame, intervals: DataFrame, zone: str, local: str) -> DataFrame:
     """Add offset_s and n_offsets to ``df``: the offset of the first interval of ``zone`` that holds the local time, and how many do (0: skipped; 2: it occurs twice).
 
-    ``intervals``: iz, iy, local_from, local_to, off; an equality on zone and year leaves 1 to 4 intervals to compare, and the
-    table's size is fixed by the number of zones and years, so it is broadcast.
+    ``intervals``: iz, iy, local_from, local_to, off; an equality on zone and year leaves 1 to 4 intervals to compare.  The
+    table's size is fixed by the number of zones and years; adaptive execution broadcasts it where it is small.
     """
     year = F.year(F.timestamp_micros(F.col(local)))
     right = intervals.groupBy("iz", "iy").agg(F.sort_array(F.collect_list(F.struct("local_from", "local_to", "off"))).alias("_iv"))
-    joined = df.join(F.broadcast(right), (F.col(zone) == F.col("iz")) & (year == F.col("iy")), "left")
+    joined = df.join(right, (F.col(zone) == F.col("iz")) & (year == F.col("iy")), "left")
     hit = F.filter("_iv", lambda x: (x["local_from"] <= F.col(local)) & (F.col(local) < x["local_to"]))
     # of two offsets the larger one gives the earlier instant
     return joined.withColumn("_hit", hit).withColumns({"n_offsets": F.when(F.col("_iv").isNotNull(), F.size("_hit")), "offset_s": F.array_max(F.transform("_hit", lambda x: x["off"]))}).drop("_iv", "_hit", "iz", "iy")
@@ -152,12 +156,17 @@ def instants(df: DataFrame, feeds: DataFrame) -> DataFrame:
     base = df.select("recruitment_record_id", "source_table", "publish_date", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us")).filter(F.col("publish_date").isNotNull())
     rows = parse_fields(base.join(F.broadcast(f), F.col("source_table") == F.col("_feed"), "left"))
     rows = cut(rows.drop("publish_date", "_feed", "source_table", "date_order"))
-    # the zones in use: at most the IANA list, whatever the rows
+    # the zones in use, among those there are, and the years in use: 9,999 at most
     zname = F.col("zone_text")
-    used = rows.select(F.explode(F.array("zone_id", F.when(zname.contains("/"), zname))).alias("z")).filter("z IS NOT NULL").groupBy(F.lower("z").alias("z")).count().limit(5000).collect()
     by_lower = {z.lower(): z for z in available_timezones()}
-    zones = sorted({by_lower[r["z"]] for r in used if r["z"] in by_lower})
-    iv, abbr = zone_intervals(zones)
+    there = spark.createDataFrame([(z,) for z in sorted(by_lower)], "z string")
+    used = rows.select(F.explode(F.array(F.lower("zone_id"), F.when(zname.contains("/"), F.lower(zname)))).alias("z")).join(F.broadcast(there), "z").distinct().collect()
+    zones = sorted({by_lower[r["z"]] for r in used})
+    made = F.year(F.timestamp_micros("created_us"))
+    relative = F.col("ago_days").isNotNull() | F.col("no_year")
+    spans = F.when(relative, F.sequence(made - 9, made + 1)).otherwise(F.array("y"))
+    years = [r["y"] for r in rows.select(F.explode(spans).alias("y")).filter("y BETWEEN 1 AND 9999").distinct().collect()]
+    iv, by_utc, abbr = year_intervals(zones, years)
     intervals = spark.createDataFrame(iv, "iz string, iy int, local_from bigint, local_to bigint, off int")
     names = F.create_map(*[x for z, a, o in abbr for x in (F.lit(f"{z} {a}"), F.lit(o))]) if abbr else F.create_map(F.lit(""), F.lit(0))
     lower = F.create_map(*[F.lit(x) for z in zones for x in (z.lower(), z)]) if zones else F.create_map(F.lit(""), F.lit(""))
@@ -170,15 +179,13 @@ def instants(df: DataFrame, feeds: DataFrame) -> DataFrame:
     # the local date of created_at, for relative and yearless dates
     rows = rows.withColumns({"_fixed": fixed, "_zone": zone})
     clock = F.try_make_timestamp  # ANSI-safe: NULL for impossible fields
-    utc_iv = intervals.select(F.col("iz").alias("cz"), (F.col("local_from") - F.col("off") * F.lit(1_000_000).cast("bigint")).alias("u_from"), (F.col("local_to") - F.col("off") * F.lit(1_000_000).cast("bigint")).alias("u_to"), F.col("off").alias("c_off")).distinct()
-    utc_iv = utc_iv.groupBy("cz").agg(F.collect_list(F.struct("u_from", "u_to", "c_off")).alias("_uiv"))
+    utc_iv = spark.createDataFrame(by_utc, "cz string, cy int, u_from bigint, u_to bigint, c_off int").groupBy("cz", "cy").agg(F.collect_list(F.struct("u_from", "u_to", "c_off")).alias("_uiv"))
     home = F.try_element_at(lower, F.lower("zone_id"))
-    relative = F.col("ago_days").isNotNull() | F.col("no_year")
     dated = rows.filter(~relative)
-    rel = rows.filter(relative).withColumn("_home", home).join(F.broadcast(utc_iv), F.col("_home") == F.col("cz"), "inner")
+    rel = rows.filter(relative).withColumn("_home", home).join(utc_iv, (F.col("_home") == F.col("cz")) & (made == F.col("cy")), "left")
     c_off = F.array_max(F.transform(F.filter("_uiv", lambda x: (x["u_from"] <= F.col("created_us")) & (F.col("created_us") < x["u_to"])), lambda x: x["c_off"]))
     today = F.to_date(F.timestamp_micros(F.col("created_us") + c_off * F.lit(1_000_000).cast("bigint")))
-    rel = rel.withColumn("_today", today).drop("_uiv", "cz", "_home")
+    rel = rel.withColumn("_today", today).drop("_uiv", "cz", "cy", "_home")
     at = lambda back: F.try_to_timestamp(F.concat_ws("-", F.lpad((F.year("_today") - back).cast("string"), 4, "0"), F.lpad(F.col("mo").cast("string"), 2, "0"), F.lpad(F.col("d").cast("string"), 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
     latest = F.coalesce(*[F.when(at(k) <= F.col("_today"), at(k)) for k in range(0, 9)])
     rel = rel.withColumn("local_us", F.when(F.col("ago_days").isNotNull(), _day_us(F.date_sub("_today", F.col("ago_days")))).otherwise(_day_us(latest) + ((F.col("h") * 60 + F.col("mi")) * 60 + F.col("s")) * F.lit(1_000_000).cast("bigint") + F.col("us"))).drop("_today")

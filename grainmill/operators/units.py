@@ -1,9 +1,9 @@
 """Quantities recorded in different units: every stated pay as yuan per month.
 
 The text is read into numbers, scales, a currency and a period by built-in expressions.
-A unit that the text leaves out is assigned by a mixture over log amounts whose components
-are offset by the known conversion factors (:func:`fit_mixture`): the prior of a component is
-what the description or the feed declares, or is estimated where neither declares anything.
+Every unit that the text leaves out (scale, period, currency, each by itself) is assigned by the posterior of a mixture over log amounts whose components
+are offset by the known conversion factors (:func:`fit_units`); what the text does say is taken off the logarithm.  The unit that the
+description or the feed declares has a prior of ``DECLARED``; where neither declares anything, the priors are estimated.
 
 Defined results: NULL, empty and white-space texts, and texts without an amount give no row; equal
 rows give one row; a record whose feed is unknown is assigned by the mixture alone; a unit that
@@ -118,85 +118,138 @@ def described_units(df: DataFrame, text: str) -> DataFrame:
     }).drop("_say")
 
 
-BIN = 0.01  #: Width of a bin of log10 amounts; the histogram that reaches the driver has at most 2,000 bins a feed.
+BIN = 0.01  #: Width of a bin of log10 amounts.
+DECLARED = 1 - 1e-6  #: Prior of the unit that the description or the feed declares; the rest falls to the others by their weights.
+KNOWN = 50  #: Rows that the units said or declared anywhere count for, where nothing declares them.
+START = (4.0, 0.3, 10.0)  #: Mean and deviation of log10 yuan a month where no row says its units, and the rows that they count for.
 
 
-def fit_mixture(counts: np.ndarray, logs: np.ndarray, offsets: np.ndarray, mu: float, sigma: float, rounds: int = 50, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Expectation-maximisation of component weights, one mean and one deviation, over a weighted histogram.
+def fit_units(groups: list[tuple[np.ndarray, np.ndarray, dict]], dims: dict[str, np.ndarray], mu: float, sigma: float, rounds: int = 50, smooth: float | dict[str, np.ndarray] = 1.0, held: float = START[2]) -> tuple[list[np.ndarray], dict[str, np.ndarray], float, float]:
+    """Expectation-maximisation of unit weights, one mean and one deviation, over weighted histograms.
 
-    Component ``k`` is a normal at ``mu - offsets[k]``: the amount as written is the amount in common
-    units less the factor's logarithm.  Returns posteriors (bins x components), weights, mean, deviation.
-    Empty input returns the start values.
+    ``groups``: (counts, logs, open) of rows that leave the same units open; ``open`` gives for each open dimension the index of the
+    declared unit, or None.  ``dims``: the logarithms of each dimension's factors.  A component is one unit for each open dimension: a normal
+    at ``mu`` less the sum of their logarithms.  Returns posteriors (a group: bins x components, the last open dimension
+    varying fastest), weights, mean, deviation.
     """
-    k = len(offsets)
-    w = np.full(k, 1.0 / k)
-    total = counts.sum()
-    post = np.zeros((len(logs), k))
-    for _ in range(rounds if total else 0):
-        z = (logs[:, None] + offsets[None, :] - mu) / sigma
-        p = np.log(w)[None, :] - 0.5 * z * z
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        post = p / p.sum(axis=1, keepdims=True)
-        mass = post * counts[:, None]
-        w = (mass.sum(axis=0) + smooth) / (total + smooth * k)
-        x = logs[:, None] + offsets[None, :]
-        # the means of well-separated components share one location: shrink to the stated rows' one
-        mu = 0.5 * mu + 0.5 * float((mass * x).sum() / total)
-        sigma = max(0.05, math.sqrt(float((mass * (x - mu) ** 2).sum() / total)))
-    return post, w, mu, sigma
+    plus = {d: np.broadcast_to(smooth[d] if isinstance(smooth, dict) else smooth, len(o)).astype(float) for d, o in dims.items()}
+    weights = {d: p / p.sum() for d, p in plus.items()}
+    start, posts = mu, []
+    for _ in range(rounds):
+        mass = {d: np.zeros(len(o)) for d, o in dims.items()}
+        n, s1, s2, posts = held, held * start, held * (sigma**2 + (start - mu) ** 2), []
+        for counts, logs, open_ in groups:
+            off, prior = np.zeros(1), np.ones(1)
+            for d, said in open_.items():
+                w = weights[d]
+                if said is not None:
+                    w = w * (1 - DECLARED) / max(1e-12, 1 - w[said])
+                    w[said] = DECLARED
+                off = (off[:, None] + dims[d][None, :]).ravel()
+                prior = (prior[:, None] * w[None, :]).ravel()
+            x = logs[:, None] + off[None, :]
+            p = np.log(prior)[None, :] - 0.5 * ((x - mu) / sigma) ** 2
+            p = np.exp(p - p.max(axis=1, keepdims=True))
+            post = p / p.sum(axis=1, keepdims=True)
+            posts.append(post)
+            m = post * counts[:, None]
+            n, s1, s2 = n + m.sum(), s1 + float((m * x).sum()), s2 + float((m * (x - mu) ** 2).sum())
+            by = m.sum(axis=0).reshape([len(dims[d]) for d in open_] or [1])
+            for i, (d, said) in enumerate(open_.items()):
+                if said is None:
+                    mass[d] += by.sum(axis=tuple(j for j in range(by.ndim) if j != i))
+        weights = {d: (m + plus[d]) / (m + plus[d]).sum() for d, m in mass.items()}
+        mu, sigma = s1 / n, max(0.05, math.sqrt(s2 / n))
+    return posts, weights, mu, sigma
+
+
+def fit_mixture(counts: np.ndarray, logs: np.ndarray, offsets: np.ndarray, mu: float, sigma: float, rounds: int = 50, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """:func:`fit_units` of one open dimension that nothing declares: posteriors (bins x components), weights, mean, deviation."""
+    posts, weights, mu, sigma = fit_units([(counts, logs, {"unit": None})], {"unit": offsets}, mu, sigma, rounds, smooth)
+    return posts[0], weights["unit"], mu, sigma
 
 
 def common_units(df: DataFrame, feeds: DataFrame, factors: DataFrame, certain: float = 0.8) -> DataFrame:
     """Pay of each row in yuan per month.
 
     ``df``: recruitment_record_id, source_table, salary_raw, job_description_raw.  Returns recruitment_record_id, low, high (DOUBLE, yuan
-    per month), period, currency, scale, source of the unit (text, description, feed, mixture), posterior and
-    uncertain (posterior under ``certain``).
+    per month), period, currency, scale, unit_from (text: all said; description, feed: what these declare was assigned; mixture: nothing declared it, or
+    it is too implausible), posterior of the units assigned and uncertain (posterior under ``certain``).
     """
     spark = df.sparkSession
-    fac = {(r["quantity"], r["unit_code"]): (r["multiply_by"], r["divide_by"]) for r in factors.limit(1000).collect()}  # a list of units, not of data
+    fac = {(r["quantity"], r["unit_code"]): r["multiply_by"] / r["divide_by"] for r in factors.filter("multiply_by > 0 AND divide_by > 0").collect()}  # the list of units
+    rate = {(r["quantity"], r["unit_code"]): (r["multiply_by"], r["divide_by"]) for r in factors.collect()}
+    dims = {q: sorted(u for k, u in fac if k == q) for q in ("scale", "period", "currency")}
+    if not all(dims.values()):
+        raise ValueError("unit_factors must hold scales, periods and currencies")
     f = feeds.groupBy(F.col("source_table").alias("_feed")).agg(*[F.min(c).alias(c) for c in ("pay_currency", "pay_period", "pay_scale")])
     base = df.select("recruitment_record_id", "source_table", "salary_raw", "job_description_raw").filter(F.col("salary_raw").isNotNull() & narrow(F.col("salary_raw")).rlike(r"\d|[一二两三四五六七八九十][万千百]"))
     rows = described_units(parse_pay(base.join(F.broadcast(f), F.col("source_table") == F.col("_feed"), "left")), "job_description_raw")
-    # read once, used twice (for the histogram and for the result); the texts themselves go no further
-    rows = cut(rows.drop("salary_raw", "job_description_raw", "_feed")).filter("low IS NOT NULL")
 
     def factor(quantity: str, c: Column) -> Column:
         """Units of ``quantity`` to common units, as (multiply, divide) structs; NULL for a unit unknown."""
-        known = [x for (q, u), (m, d) in sorted(fac.items()) if q == quantity for x in (F.lit(u), F.struct(F.lit(float(m)).alias("m"), F.lit(float(d)).alias("d")))]
+        known = [x for (q, u), (m, d) in sorted(rate.items()) if q == quantity for x in (F.lit(u), F.struct(F.lit(float(m)).alias("m"), F.lit(float(d)).alias("d")))]
         return F.try_element_at(F.create_map(*known), c)
 
-    # what is known of each unit, by the order of precedence
+    def log(quantity: str, c: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.create_map(*[x for u in dims[quantity] for x in (F.lit(u), F.lit(math.log10(fac[quantity, u])))]), c), F.lit(0.0))
+
+    # read once, used twice (for the histogram and for the result); the texts themselves go no further
+    rows = cut(rows.drop("salary_raw", "job_description_raw", "source_table", "_feed")).filter("low IS NOT NULL")
+    # what the text says of each unit; else what is declared ('' where nothing is), by the order of precedence
+    open_scale = F.col("scale_high").isNull() & F.col("figures_only")
+    declared = lambda quantity, *cs: F.coalesce(*[F.when(F.col(c).isin(*dims[quantity]), F.col(c)) for c in cs], F.lit(""))
     rows = rows.withColumns({
-        "p": F.coalesce("period", "said_period", "pay_period"),
-        "c": F.coalesce("currency", "said_currency", "pay_currency"),
-        "sl": F.coalesce("scale_low", F.when(F.col("figures_only"), F.coalesce("said_scale", "pay_scale")).otherwise(F.lit("one"))),
-        "sh": F.coalesce("scale_high", F.when(F.col("figures_only"), F.coalesce("said_scale", "pay_scale")).otherwise(F.lit("one"))),
-    })
-    open_ = F.col("p").isNull() | F.col("c").isNull() | F.col("sl").isNull()
-    rows = rows.withColumn("open", open_).withColumn("bin", F.floor(F.log10(F.greatest("high", F.lit(1e-6))) / BIN).cast("int"))
-    # the mixture, fitted on a histogram of all rows that leave a unit open
-    scales = [u for q, u in fac if q == "scale"]
-    periods = [u for q, u in fac if q == "period"]
-    kinds = [(s, p) for s in scales for p in periods]
-    off = np.array([math.log10(fac["scale", s][0] / fac["scale", s][1] * fac["period", p][0] / fac["period", p][1]) for s, p in kinds])
-    priced = lambda df: df.withColumns({"fp": factor("period", F.col("p")), "fc": factor("currency", F.col("c")), "fl": factor("scale", F.col("sl")), "fh": factor("scale", F.col("sh"))})
+        "d_scale": F.when(open_scale, declared("scale", "said_scale", "pay_scale")),
+        "d_period": F.when(F.col("period").isNull(), declared("period", "said_period", "pay_period")),
+        "d_currency": F.when(F.col("currency").isNull(), declared("currency", "said_currency", "pay_currency")),
+        "described": (open_scale & F.col("said_scale").isNotNull()) | (F.col("period").isNull() & F.col("said_period").isNotNull()) | (F.col("currency").isNull() & F.col("said_currency").isNotNull()),
+        "scale_low": F.when(~open_scale, F.coalesce("scale_low", F.lit("one"))), "scale_high": F.when(~open_scale, F.coalesce("scale_high", F.lit("one"))),
+    })
+    said = log("scale", F.col("scale_high")) + log("period", F.col("period")) + log("currency", F.col("currency"))
+    rows = rows.withColumn("bin", F.floor((F.log10(F.greatest("high", F.lit(1e-6))) + said) / BIN).cast("int"))
+    keys = ["d_scale", "d_period", "d_currency"]
+    # how often each unit is said or declared: the start of the weights where nothing declares it
+    known = {q: dict.fromkeys(us, 0) for q, us in dims.items()}
+    for q, c in (("scale", "scale_high"), ("period", "period"), ("currency", "currency")):
+        for r in rows.groupBy(F.coalesce(F.col(c), f"d_{q}").alias("u")).count().collect():  # at most one row a unit
+            if r["u"] in known[q]:
+                known[q][r["u"]] = r["count"]
+    smooth = {q: np.array([1 + KNOWN * n / max(1, sum(ns.values())) for n in ns.values()]) for q, ns in known.items()}
+    # histograms of fixed resolution, one for each combination of units open and declared: bounded by the list of units
+    got = rows.groupBy(*keys, "bin").count().toPandas()
+    groups, which = [], []
+    for combo, g in got.groupby(keys, dropna=False, sort=True):
+        g = g.sort_values("bin")
+        said_ = {q: (dims[q].index(v) if v else None) for q, v in zip(("scale", "period", "currency"), combo) if isinstance(v, str)}
+        groups.append((g["count"].to_numpy(float), (g["bin"].to_numpy(float) + 0.5) * BIN, said_))
+        which.append((combo, g["bin"].tolist()))
+    logs = {q: np.array([math.log10(fac[q, u]) for u in us]) for q, us in dims.items()}
+    # the start: rows that leave nothing open, with the declared ones
+    sure = [(c, x + sum(logs[q][k] for q, k in o.items())) for c, x, o in groups if None not in o.values()]
+    n = sum(c.sum() for c, _ in sure)
+    mu = sum((c * x).sum() for c, x in sure) / n if n else START[0]
+    sigma = max(0.05, math.sqrt(sum((c * (x - mu) ** 2).sum() for c, x in sure) / n)) if n else START[1]
+    posts, _, _, _ = fit_units(groups, logs, mu, sigma, smooth=smooth)
+    best = []
+    for (combo, bins), (_, _, said_), post in zip(which, groups, posts):
+        shape = [len(dims[q]) for q in said_] or [1]
+        for b, k, p in zip(bins, post.argmax(axis=1), post.max(axis=1)):
+            units = dict(zip(said_, (dims[q][i] for q, i in zip(said_, np.unravel_index(int(k), shape)))))
+            best.append((*[v if isinstance(v, str) else None for v in combo], int(b), *[units.get(q) for q in ("scale", "period", "currency")], float(p)))
+    table = spark.createDataFrame(best, "k_scale string, k_period string, k_currency string, k_bin int, g_scale string, g_period string, g_currency string, posterior double")
+    same = F.col("bin") == F.col("k_bin")
+    for q in ("scale", "period", "currency"):
+        same &= F.col(f"d_{q}").eqNullSafe(F.col(f"k_{q}"))
+    rows = rows.join(table, same)
+    as_declared = F.lit(True)
+    for q in ("scale", "period", "currency"):
+        as_declared &= F.col(f"d_{q}").isNull() | (F.col(f"d_{q}") == F.col(f"g_{q}"))
+    by = F.when(F.coalesce("g_scale", "g_period", "g_currency").isNull(), "text").when(~as_declared, "mixture").when(F.col("described"), "description").otherwise("feed")
+    rows = rows.withColumns({"p": F.coalesce("period", "g_period"), "c": F.coalesce("currency", "g_currency"), "sl": F.coalesce("scale_low", "g_scale"), "sh": F.coalesce("scale_high", "g_scale")})
+    rows = rows.withColumns({"fp": factor("period", F.col("p")), "fc": factor("currency", F.col("c")), "fl": factor("scale", F.col("sl")), "fh": factor("scale", F.col("sh"))})
     value = lambda v, s: F.col(v) * F.col(s)["m"] / F.col(s)["d"] * F.col("fp")["m"] * F.col("fc")["m"] / (F.col("fp")["d"] * F.col("fc")["d"])
-    closed = priced(rows.filter(~F.col("open"))).withColumn("v", F.log10(F.greatest(value("high", "fh"), F.lit(1.0))))
-    hist = closed.groupBy(F.lit(None).cast("int").alias("bin"), F.lit(False).alias("open")).agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
-    hist = hist.unionByName(rows.filter("open").groupBy("bin", "open").agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("m"), F.lit(None).cast("double").alias("sd")))
-    got = hist.collect()  # one row of moments and a histogram of fixed resolution
-    start = next(((r["m"], r["sd"]) for r in got if not r["open"] and r["m"] is not None), (4.0, 0.3))
-    bins = sorted((r["bin"], r["n"]) for r in got if r["open"] and r["bin"] is not None)
-    logs = np.array([(b + 0.5) * BIN for b, _ in bins])
-    post, _, _, _ = fit_mixture(np.array([n for _, n in bins], float), logs, off, start[0], max(0.05, start[1] or 0.3))
-    best = [(b, *kinds[int(k)], float(post[i][int(k)])) for i, (b, _) in enumerate(bins) for k in [post[i].argmax()]]
-    guess = spark.createDataFrame(best, "bin int, g_scale string, g_period string, posterior double")
-    rows = rows.join(F.broadcast(guess.withColumnRenamed("bin", "_bin")), F.col("open") & (F.col("bin") == F.col("_bin")), "left")
-    # a declared unit is a prior of one: its posterior is one
-    rows = rows.withColumns({"p": F.coalesce("p", "g_period"), "c": F.coalesce("c", F.lit("cny")), "sl": F.coalesce("sl", "g_scale"), "sh": F.coalesce("sh", "g_scale"), "posterior": F.when(F.col("open"), F.col("posterior")).otherwise(F.lit(1.0))})
-    by = F.when(F.col("open"), "mixture").when(F.col("period").isNotNull() & F.col("currency").isNotNull(), "text").when(F.col("said_period").isNotNull() | F.col("said_scale").isNotNull(), "description").otherwise("feed")
-    return priced(rows).select("recruitment_record_id", value("low", "fl").alias("low"), value("high", "fh").alias("high"), F.col("p").alias("period"), F.col("c").alias("currency"), F.col("sh").alias("scale"), by.alias("unit_from"), "posterior", (F.coalesce(F.col("posterior"), F.lit(0.0)) < certain).alias("uncertain"))
+    return rows.select("recruitment_record_id", value("low", "fl").alias("low"), value("high", "fh").alias("high"), F.col("p").alias("period"), F.col("c").alias("currency"), F.col("sh").alias("scale"), by.alias("unit_from"), "posterior", (F.col("posterior") < certain).alias("uncertain"))
 
 
 def found(df: DataFrame, feeds: DataFrame, factors: DataFrame) -> DataFrame:

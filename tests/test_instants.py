@@ -50,3 +50,13 @@ def test_intervals_agree_with_zoneinfo():
             real = [o for o in both if (t - timedelta(seconds=o)).replace(tzinfo=timezone.utc).astimezone(ZoneInfo(z)).replace(tzinfo=None) == t]
             assert hit == real, (z, t)
             t += timedelta(hours=13)
+
+
+def test_years_and_zones_without_bounds(spark):
+    rows = [("old", "cn", "1985-05-01", CREATED, 1, "x"), ("new", "de", "2065-07-01 12:00", CREATED, 1, "x"), ("far", "us", "9998-01-02", CREATED, 1, "x"), ("lost", "nowhere", "2 days ago", CREATED, 1, "x"), ("own", "nowhere", "2024-01-01 10:00 Asia/Tokyo", CREATED, 1, "x")]
+    rows += [(f"junk{i}", "cn", f"2024-01-01 10:00 ab/c{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}", CREATED, 1, "x") for i in range(100)]
+    got = {r[0]: (r[1], r[2]) for r in instants.instants(*frames(spark, rows)).collect()}
+    us = lambda t: int(t.timestamp()) * 1_000_000
+    assert got["old"] == (us(U(1985, 4, 30, 16)), "exact")
+    assert got["new"] == (us(U(2065, 7, 1, 10)), "exact") and got["far"] == (us(U(9998, 1, 2, 5)), "exact")
+    assert got["lost"] == (None, "none") and got["own"] == (us(U(2024, 1, 1, 1)), "exact") and len(got) == len(rows)

@@ -47,3 +47,25 @@ def test_mixture_separates_scales():
     pick = dict(zip(b.tolist(), post.argmax(axis=1).tolist()))
     assert np.mean([pick[x] == k for x, k in zip(bins.tolist(), kind.tolist())]) > 0.97
     assert mu == pytest.approx(4.0, abs=0.05) and w == pytest.approx([1 / 3] * 3, abs=0.05)
+
+
+def test_units_that_no_feed_declares(spark):
+    """Planted: half of the rows say their units, the others come from feeds that declare nothing or only the currency."""
+    rng = np.random.default_rng(7)
+    feeds = [("cn", "cny", "month", "one"), ("none", None, None, None), ("usd", "usd", None, None), ("odd", "cny", "month", "one")]
+    rows, truth = [], {}
+    for i, v in enumerate(10 ** rng.normal(4.1, 0.08, 1200)):
+        kind = i % 6
+        if kind < 3:
+            rows.append((f"r{i}", "cn", f"{v:.0f}元/月", ""))
+        else:
+            feed, amount = [("none", v), ("none", v / 1000), ("usd", v / 7.2 / 174)][kind - 3]
+            rows.append((f"r{i}", feed, f"{amount:.2f}", ""))
+            truth[f"r{i}"] = v
+    rows += [("us15", "usd", "15", ""), ("implausible", "odd", "0.001", ""), ("odd", "odd", "15000", "")]
+    df, _, factors = frames(spark, [(*r, "x", 1) for r in rows])
+    got = {r["recruitment_record_id"]: r for r in units.common_units(df, spark.createDataFrame(feeds, "source_table string, pay_currency string, pay_period string, pay_scale string"), factors).collect()}
+    right = [abs(got[k]["high"] / v - 1) < 0.02 for k, v in truth.items()]
+    assert np.mean(right) > 0.9 and all(got[k]["unit_from"] == "mixture" for k in truth)
+    assert (got["us15"]["period"], got["us15"]["currency"], round(got["us15"]["high"])) == ("hour", "usd", 18792)
+    assert got["odd"]["unit_from"] == "feed" and not got["odd"]["uncertain"] and got["implausible"]["unit_from"] == "mixture"
