@@ -75,7 +75,7 @@ def known_cities(x: DataFrame, places: DataFrame | None) -> DataFrame:
 def known_trades(b: DataFrame) -> DataFrame:
     """trade: the list's, and the endings of bodies (``b``: rest, without their city) that many brands share."""
     e = b.select("rest", F.explode(F.sequence(F.lit(1), F.least(F.lit(7), F.length("rest") - 2))).alias("k")).filter("k >= 1 AND length(rest) >= k + 2")
-    n = cut(e.select(F.expr("right(rest, k)").alias("s"), "rest").groupBy("s").agg(F.countDistinct("rest").alias("n")))
+    n = e.select(F.expr("right(rest, k)").alias("s"), "rest").groupBy("s").agg(F.countDistinct("rest").alias("n"))
     shorter = n.select(F.col("s").alias("tail"), F.col("n").alias("n_tail"))
     longer = n.filter("length(s) > 1").groupBy(F.expr("substring(s, 2)").alias("s")).agg(F.max("n").alias("n_next"))
     x = n.filter(f"length(s) BETWEEN 2 AND 6 AND n >= {HEADS}").join(shorter, F.expr("substring(s, 2)") == F.col("tail")).join(longer, "s", "left")
@@ -96,7 +96,7 @@ def read_names(names: DataFrame, column: str, places: str | None = None) -> Data
     t = F.regexp_replace(F.regexp_replace(_plain(F.col("name")), r"[·•・]", ""), r"(?U)^\s+|\s+$", "")
     x = x.withColumn("t", t).filter(~F.col("t").rlike(WITHHELD))
     han = cut(x.filter(F.col("t").rlike(r"\p{IsHan}")).withColumns({"body": _body(F.col("t")), "bracket": F.regexp_extract("t", r"[(\[（【](?:中国)?(\p{IsHan}{2,4}?)市?[)\]）】]", 1)}))
-    cities = cut(known_cities(han, None if places is None else names.select(F.col(places).alias("place")).distinct()))
+    cities = (known_cities(han, None if places is None else names.select(F.col(places).alias("place")).distinct()))
     cand = lambda first, k, text: F.struct(F.lit(first).alias("first"), F.lit(-k).alias("size"), text.alias("text"))
     body, back = F.col("body"), F.regexp_replace("body", r"(?<=.{4})市$", "")
     options = [F.when(F.col("bracket") != "", cand(0, 0, F.col("bracket")))]
@@ -106,7 +106,7 @@ def read_names(names: DataFrame, column: str, places: str | None = None) -> Data
     front = F.regexp_replace(F.substring(body, F.length(city) + 1, F.lit(1 << 20)), r"^市(?=.{2})", "")
     rest = F.when(F.col("_c.first") == 1, front).when(F.col("_c.first") == 2, F.left(back, F.length(back) - F.length(city))).otherwise(body)
     han = cut(han.select("name", city.alias("city"), rest.alias("rest"), F.col("t").rlike(r"公.$").alias("formal")))
-    trades = cut(known_trades(han.filter("formal").select("rest")))
+    trades = (known_trades(han.filter("formal").select("rest")))
     r, short = F.col("rest"), F.when(F.col("rest").rlike(r"..公.$"), F.left("rest", F.length("rest") - 2))
     options = [F.when(F.length("rest") > k, cand(first, k, x)) for k in range(2, 7) for first, x in ((0, _right(r, k)), (2, F.left(r, F.lit(k))))] + [F.when(F.length(short) > k, cand(1, k, _right(short, k))) for k in range(2, 7)]
     han = _looked_up(han, F.array(*options), trades, "_t")
@@ -149,9 +149,9 @@ def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> Data
         raise ValueError("the radius must be less than the distance of two cities")
     w = W.partitionBy("city", "trade")
     p = right.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(F.xxhash64("id"), "id"))}).filter("_i <= ceil(sqrt(_n))")
-    p = cut(p.select("city", "trade", F.col("id").alias("p"), F.col("brand").alias("sp")))
+    p = p.select("city", "trade", F.col("id").alias("p"), F.col("brand").alias("sp"))
     x = left.join(p, ["city", "trade"]).withColumn("_d", F.levenshtein("brand", "sp")).groupBy("id").agg(F.min(F.struct("_d", "p")).alias("m"), F.first("brand").alias("sx"))
-    x = cut(x.select(F.col("id").alias("x"), "sx", "m.p", F.col("m._d").alias("_near")))
+    x = x.select(F.col("id").alias("x"), "sx", "m.p", F.col("m._d").alias("_near"))
     reach = x.groupBy("p").agg(F.max("_near").alias("_reach"))
     y = right.join(p.join(reach, "p"), ["city", "trade"]).filter(F.levenshtein("brand", "sp") <= F.col("_reach") + radius).select(F.col("id").alias("y"), F.col("brand").alias("sy"), "p")
     near = x.select("x", "sx", "p").join(y, "p").filter(F.abs(F.length("sx") - F.length("sy")) <= radius)
@@ -176,19 +176,19 @@ def link(names: DataFrame, column: str = "company_name", places: str | None = No
     # full readings with one another; an abbreviation then joins the firm that it fits, if it fits one only
     near = radius_join(full, full).filter("x <> y").withColumn("ok", human_edit(F.col("sx"), F.col("sy"), F.col("d"))).filter("ok")
     near = cut(near.withColumn("short", (F.col("d") == 2) & (F.length("sx") < F.length("sy"))))
-    firms = cut(components(near.filter("NOT short AND NOT (d = 2 AND length(sx) > length(sy))").select("x", "y"), full).withColumnRenamed("component", "firm"))
+    firms = (components(near.filter("NOT short AND NOT (d = 2 AND length(sx) > length(sy))").select("x", "y"), full).withColumnRenamed("component", "firm"))
     fits = near.filter("short").join(firms.withColumnRenamed("id", "y"), "y").groupBy("x").agg(F.min("firm").alias("f"), F.countDistinct("firm").alias("n")).filter("n = 1")
     firms = cut(firms.join(fits.select(F.col("x").alias("id"), "f"), "id", "left").select("id", F.coalesce("f", "firm").alias("firm")))
     # readings that leave city, trade or both unsaid lie in the space of full readings without them
     part = nodes.filter("city = '' OR trade = ''")
     seen = full.join(firms, "id").select("firm", "brand", F.explode(F.array(*[F.struct(F.lit("").alias("city") if not c else F.col("city"), F.lit("").alias("trade") if not t else F.col("trade")) for c, t in ((0, 1), (1, 0), (0, 0))])).alias("p"))
-    seen = cut(seen.select("firm", "p.city", "p.trade", "brand").distinct().withColumn("k", F.xxhash64("city", "trade", "brand")))
+    seen = (seen.select("firm", "p.city", "p.trade", "brand").distinct().withColumn("k", F.xxhash64("city", "trade", "brand")))
     points = seen.select(F.col("k").alias("id"), "city", "trade", "brand").distinct()
     reach = radius_join(part, points).withColumn("ok", human_edit(F.col("sx"), F.col("sy"), F.col("d"))).filter("ok")
     reach = reach.join(seen.select(F.col("k").alias("y"), "firm"), "y").select("x", "firm", "d").distinct()
     best = cut(reach.withColumn("m", F.min("d").over(W.partitionBy("x"))).filter("d = m").groupBy("x").agg(F.min("firm").alias("f"), F.countDistinct("firm").alias("n")).withColumnRenamed("x", "id"))
     # what fits no firm is linked with its like; what fits several joins none
-    alone = cut(part.join(best, "id", "left_anti"))
+    alone = (part.join(best, "id", "left_anti"))
     like = radius_join(alone, alone).filter(F.col("x") < F.col("y")).filter(human_edit(F.col("sx"), F.col("sy"), F.col("d")) & (F.col("d") < 2) | (F.length("sx") == F.length("sy")) & human_edit(F.col("sx"), F.col("sy"), F.col("d")))
     own = components(like.select("x", "y"), alone).withColumnRenamed("component", "firm")
     out = firms.unionByName(best.filter("n = 1").select("id", F.col("f").alias("firm"))).unionByName(own)

@@ -222,12 +222,41 @@ def class_pairs(feat: DataFrame, shared: float = SHARED) -> DataFrame:
         pairs = once.unionByName(block_pairs(crowd.join(whole, "k", "left_semi"), "k")).unionByName(block_pairs(again.join(whole.withColumnRenamed("k", "k0"), "k0", "left_anti"), "k0", "k"))
     else:
         pairs = cross(buckets.select(F.col("g").alias("x"), F.col("g").alias("y")))
-    pairs = pairs.distinct()
+    pairs = _sketched(pairs.distinct(), feat, shared)
     side = lambda s: feat.select(F.col("cls").alias(s), F.col("cl").alias(f"cl_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.filter(_share("cl_a", "cl_b") >= shared).select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b"))
 
 
+def _sketched(pairs: DataFrame, feat: DataFrame, shared: float) -> DataFrame:
+    """``pairs`` without those whose sketches rule them out, before any clauses are sent.
+
+    A sketch has a bit for each clause (of 128) and the most clauses that a text can have apart from the other, its lightest ones; more
+    bits that the other lacks are more such clauses.  No pair that shares enough is dropped.
+    """
+
+    def run(batches):
+        for b in batches:
+            row, tok, w, _ = _tokens(b)
+            total = np.bincount(row, w, minlength=b.num_rows)
+            bit = (_mix(tok, tok) >> 40) & 127
+            out = []
+            for half in (0, 1):
+                s, mine = np.zeros(b.num_rows, np.int64), (bit >> 6) == half
+                np.bitwise_or.at(s, row[mine], (np.uint64(1) << (bit[mine] & 63).astype(np.uint64)).view(np.int64))
+                out.append(s)
+            o = np.lexsort((w, row))
+            upto = np.cumsum(w[o]) - np.repeat(np.cumsum(total) - total, np.bincount(row, minlength=b.num_rows))
+            apart = np.bincount(row[o][upto <= (1 - shared) * total[row[o]] + 1e-6], minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("cls"), *[pa.array(x) for x in out], pa.array(apart, pa.int32())], ["cls", "s0", "s1", "apart"])
+
+    sketch = cut(feat.mapInArrow(run, "cls bigint, s0 bigint, s1 bigint, apart int"))
+    side = lambda s: sketch.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("s0", "s1", "apart")])
+    lacks = lambda x, y: F.bit_count(F.expr(f"s0_{x} & ~s0_{y}")) + F.bit_count(F.expr(f"s1_{x} & ~s1_{y}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter((lacks("a", "b") <= F.col("apart_a")) & (lacks("b", "a") <= F.col("apart_b"))).select("a", "b")
+
+
 def _share(a: str, b: str):
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda x, y: x + y.bitwiseAND(F.lit(0x3FFF)))
     return total(F.array_intersect(a, b)) / F.greatest(total(F.col(a)), total(F.col(b)))
