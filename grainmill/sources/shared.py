@@ -11,7 +11,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+    """:func:`cut`, and how many of the rows written meet ``condition``: counted on the way, without another pass."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    return out, int(seen.get["n"])
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`cut` that is no longer read."""
     spark = df.sparkSession
