@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from grainmill.sources.shared import cut
+
 _RN = "__rn"
 
 
@@ -116,3 +118,60 @@ def insert_absent(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
     cols = existing.columns
     new = first_per_key(incoming, keys, [F.col(c) for c in cols]).join(existing.select(*keys), keys, "left_anti")
     return existing.unionByName(new.select(*cols))
+
+
+def row_numbers(df: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
+    """Add a global number from 1 on in the order of ``order`` (a unique key, NULLs first), without one task for all rows.
+
+    Rows are dealt to ranges of the order and written once; each range is numbered by itself and shifted by the rows before it.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    shift = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))  # a row a partition
+    own = dealt.withColumn(_RN, F.row_number().over(W.partitionBy("__part").orderBy(*order)))
+    return own.join(shift, "__part").withColumn(name, F.col(_RN) + F.col("__shift")).drop(_RN, "__part", "__shift")
+
+
+def chunk_of(number: Column, size: int) -> Column:
+    """The chunk, from 1 on, of a row number."""
+    return F.floor((number - 1) / size).cast("bigint") + 1
+
+
+def latest(df: DataFrame, keys: list[str], at: str, version: str) -> DataFrame:
+    """The latest row of each key: by time (NULLs last), then by the version's digits as a number, then by its text, then by all columns."""
+    number = F.regexp_replace(F.coalesce(version, F.lit("")), r"\D", "").try_cast("bigint")
+    return first_per_key(df, keys, [F.col(at).desc_nulls_last(), number.desc_nulls_last(), F.col(version).desc_nulls_last(), *[F.col(c) for c in df.columns if c not in (*keys, at, version)]])
+
+
+def split_at(df: DataFrame, score: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(matched, pending): rows whose score reaches the threshold, and all others, NULL scores among them."""
+    ok = F.coalesce(F.col(score) >= threshold, F.lit(False))
+    return df.filter(ok), df.filter(~ok)
+
+
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in which none of ``columns`` is NULL."""
+    return df.dropna("any", subset=columns)
+
+
+def suffixed_join(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+    """Left join that keeps both sides' columns: a right one of a name taken gets ``suffix``."""
+    taken = set(left.columns)
+    return left.join(right.select(*keys, *[F.col(c).alias(f"{c}{suffix}" if c in taken else c) for c in right.columns if c not in keys]), keys, "left")
+
+
+def filled(payload: Column, path: str, default: Column, kind: str = "string") -> Column:
+    """A field of a JSON payload, or ``default`` where the payload lacks it, is NULL or no JSON."""
+    return F.coalesce(F.get_json_object(payload, path).try_cast(kind), default)
+
+
+def guarded(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """``df``, which fails with ``message`` when a row does not meet ``condition`` (NULL fails too)."""
+    first = df.columns[0]
+    return df.withColumn(first, F.when(F.coalesce(condition, F.lit(False)), F.col(first)).otherwise(F.raise_error(F.lit(message))))
+
+
+def compared_prefixes(df: DataFrame, group: str, variants: dict[str, Column]) -> DataFrame:
+    """group, chosen, passes: of several ways to decide (name -> passed), the one with most passes; of equals the first named."""
+    counts = [F.struct(F.coalesce(F.count_if(c), F.lit(0)).alias("passes"), F.lit(-i).alias("place"), F.lit(n).alias("name")) for i, (n, c) in enumerate(variants.items())]
+    return df.groupBy(group).agg(F.greatest(*counts).alias("b")).select(group, F.col("b.name").alias("chosen"), F.col("b.passes").alias("passes"))

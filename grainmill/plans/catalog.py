@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from grainmill.plans import evaluation, matching, relational, textual
+from grainmill.plans import evaluation, matching, relational, reports, textual
 
-MODULES = [relational, textual, evaluation, matching]
+MODULES = [relational, textual, evaluation, matching, reports]
 
 
 def queries() -> dict:
