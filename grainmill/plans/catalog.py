@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from grainmill.plans import evaluation, matching, relational, reports, textual
+from grainmill.plans import dictionaries, evaluation, matching, relational, reports, textual
 
-MODULES = [relational, textual, evaluation, matching, reports]
+MODULES = [relational, textual, evaluation, matching, reports, dictionaries]
 
 
 def queries() -> dict:

@@ -311,7 +311,7 @@ def city_industry_month(s, d):
     return g.withColumn("total", F.sum("n").over(W.partitionBy("city", "industry"))).select("industry", "month", "city", "n", "total")
 
 
-@query(f"""WITH e AS (SELECT occupation_major_category AS category, code, year, education FROM (SELECT o.occupation_major_category, o.code, strftime(j.created_at, '%Y') AS year, CASE WHEN j.education_requirement_raw IS NULL OR j.education_requirement_raw = '' THEN '未明确' WHEN contains(j.education_requirement_raw, '不限') OR contains(j.education_requirement_raw, '无要求') THEN '学历不限' {' '.join(f"WHEN contains(j.education_requirement_raw, '{v}') THEN '{v}'" for v in X.DEGREES)} ELSE '未明确' END AS education FROM {JOBS} j JOIN occ_dict_unified o ON trim(j.job_title) = trim(o.title) WHERE o.is_terminal)),
+@query(f"""WITH e AS (SELECT occupation_major_category AS category, code, year, education FROM (SELECT o.occupation_major_category, o.code, strftime(j.created_at, '%Y') AS year, CASE WHEN j.education_requirement_raw IS NULL OR j.education_requirement_raw = '' THEN '未明确' WHEN contains(j.education_requirement_raw, '不限') OR contains(j.education_requirement_raw, '无要求') THEN '学历不限' {' '.join(f"WHEN contains(j.education_requirement_raw, '{v}') THEN '{v}'" for v in X.DEGREES)} ELSE '未明确' END AS education FROM {JOBS} j JOIN occ_dict_unified o ON trim(j.job_title, ' ') = trim(o.title, ' ') WHERE o.is_terminal)),
 g AS (SELECT category, year, education, count(*) AS n FROM e GROUP BY 1, 2, 3) SELECT *, round(n / sum(n) OVER (PARTITION BY category, year), 6) AS share FROM g""")
 def category_year_education(s, d):
     o = t(s, d, "occ_dict_unified").filter("is_terminal").select(F.trim("title").alias("title"), F.col("occupation_major_category").alias("category"))
