@@ -35,7 +35,7 @@ def supplement(sources: list[DataFrame], record: str, code: str, score: str, k:
     for i, s in enumerate(sources):
         x = s.select(record, code, F.coalesce(score, F.lit(0.0)).alias("score"), F.lit(i).alias("source"))
         every = x if every is None else every.unionByName(x)
-    every = every.filter(F.col(code).isNotNull() & (F.col(code) != ""))
+    every = every.filter(F.col(code).isNotNull() & (F.col(code).cast("string") != ""))
     if exclude is not None:
         every = every.join(exclude.select(code), code, "left_anti")
     once = first_per_key(every, [record, code], [F.col("source"), F.desc("score")])
@@ -102,10 +102,18 @@ def hard_over_soft(hard: DataFrame, soft: DataFrame, key: str, name: str) -> Dat
     return h.withColumn("kind", F.lit("hard")).unionByName(s.withColumn("kind", F.lit("soft")))
 
 
-def calibrated(raw: Column, choice: Column) -> Column:
-    """A raw confidence on the scale of agreement: piecewise linear, 0 for NONE, at most 0.85."""
-    c = F.when(raw >= 0.90, 0.60 + (raw - 0.90) * 1.5).when(raw >= 0.70, 0.35 + (raw - 0.70) * 1.25).otherwise(raw * 0.5)
-    return F.when(raw.isNull() | (raw <= 0) | (F.coalesce(choice, F.lit("NONE")) == "NONE"), 0.0).otherwise(F.round(F.least(c, F.lit(0.85)), 4))
+# Knots (raw, calibrated) of the confidence scale, steps at the second coordinates' jumps, and its top.
+KNOTS = [(0.0, 0.0, 0.5), (0.70, 0.35, 1.25), (0.90, 0.60, 1.5)]
+CEILING = 0.85
+
+
+def calibrated(raw: Column, choice: Column, knots: list[tuple[float, float, float]] = KNOTS, ceiling: float = CEILING) -> Column:
+    """A raw confidence on the scale of agreement: linear from each knot (from, value, slope) on, at most ``ceiling``; 0 for NONE, NULL and what isn't positive."""
+    out = F.lit(0.0)
+    for start, value, slope in knots:
+        out = F.when(raw >= start, value + (raw - start) * slope).otherwise(out)
+    none = raw.isNull() | (raw <= 0) | (F.coalesce(choice, F.lit("NONE")) == "NONE")
+    return F.when(none, 0.0).otherwise(F.round(F.least(out, F.lit(ceiling)), 4))
 
 
 def _lenient(t: str | None) -> str | None:
@@ -120,8 +128,9 @@ def _lenient(t: str | None) -> str | None:
     body = t[min(starts) :]
     end = max(body.rfind("}"), body.rfind("]"))
     upto = body[: end + 1] if end >= 0 else body
-    # as it is; with what is open at the end closed; cut back to the last bracket and closed
-    for form in (upto, _closed(body), _closed(upto)):
+    # as it is; with what is open at the end closed; cut back to the last bracket, or to the last whole field, and closed
+    commas = [m.start() for m in re.finditer(",", body)][::-1][:50]
+    for form in (upto, _closed(body), *(_closed(body[:i]) for i in commas), _closed(upto)):
         plain = re.sub(r",\s*([}\]])", r"\1", form)
         python = re.sub(r"\bNone\b", "null", re.sub(r"\bTrue\b", "true", re.sub(r"\bFalse\b", "false", plain.replace("'", '"'))))
         for x in (plain, python):

@@ -41,7 +41,10 @@ def non_empty(*columns: Column) -> Column:
 
 
 def alternative_key_join(left: DataFrame, right: DataFrame, first: list[str], second: list[str]) -> DataFrame:
-    """Left join on ``first`` where the left row has it (non-NULL), otherwise on ``second``: two equality joins, no OR."""
+    """Left join on ``first`` where the left row has it (non-NULL), otherwise on ``second``: two equality joins, no OR.
+
+    Rows of ``right`` whose key is NULL meet nothing on that key.
+    """
     has = F.lit(True)
     for c in first:
         has = has & left[c].isNotNull()
@@ -74,7 +77,8 @@ def quota_fill(df: DataFrame, group: str, row: str, rank: str, order: list[Colum
 def round_robin(df: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
     """``n`` rows, one of each stratum in turn, in the order of md5: add turn; strata with fewer rows drop out of later turns."""
     h = F.md5(F.col(key).cast("string"))
-    turned = df.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(h, key)))
+    # a stratum gives at most n rows: its window keeps no more
+    turned = df.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(h, key))).filter(F.col("turn") <= n)
     return turned.orderBy("turn", F.md5(F.coalesce(F.col(stratum).cast("string"), F.lit("")).cast("string")), stratum, key).limit(n)
 
 
@@ -175,3 +179,34 @@ def compared_prefixes(df: DataFrame, group: str, variants: dict[str, Column]) ->
     """group, chosen, passes: of several ways to decide (name -> passed), the one with most passes; of equals the first named."""
     counts = [F.struct(F.coalesce(F.count_if(c), F.lit(0)).alias("passes"), F.lit(-i).alias("place"), F.lit(n).alias("name")) for i, (n, c) in enumerate(variants.items())]
     return df.groupBy(group).agg(F.greatest(*counts).alias("b")).select(group, F.col("b.name").alias("chosen"), F.col("b.passes").alias("passes"))
+
+
+def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str, bins: int = 1024) -> DataFrame:
+    """keys, name: the interpolated quantile ``q`` of a numeric column in each group, exactly, without any task that holds a group.
+
+    Two passes: a histogram of ``bins`` equal bins a group tells in which bins the two order statistics lie; only rows of these bins are ranked.
+    NULLs are left out; a group without values gives no row.
+    """
+    x = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    g = x.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    g = g.withColumns({"_at": F.lit(q) * (F.col("_n") - 1)}).withColumns({"_k": F.floor("_at") + 1, "_k2": F.ceil("_at") + 1})
+    at = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).cast("int")
+    b = x.alias("x").join(g.alias("g"), _equal("x", "g", keys)).select(*[F.col(f"x.{k}").alias(k) for k in keys], "_v", "_k", "_k2", at.alias("_b"))
+    h = b.groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.min("_k").alias("_k"), F.min("_k2").alias("_k2"))
+    h = h.withColumn("_before", F.sum("_c").over(W.partitionBy(*keys).orderBy("_b")) - F.col("_c"))
+    h = h.filter(((F.col("_k") > F.col("_before")) & (F.col("_k") <= F.col("_before") + F.col("_c"))) | ((F.col("_k2") > F.col("_before")) & (F.col("_k2") <= F.col("_before") + F.col("_c"))))
+    r = b.alias("b").join(h.alias("h"), (F.col("b._b") == F.col("h._b")) & _equal("b", "h", keys)).select(*[F.col(f"b.{k}").alias(k) for k in keys], "b._b", "b._v", "b._k", "b._k2", "h._before")
+    # equal values are one row with their number, so that a value of very many rows is no sort of them
+    r = r.groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_c"), F.min("_k").alias("_k"), F.min("_k2").alias("_k2"), F.min("_before").alias("_before"))
+    r = r.withColumn("_upto", F.col("_before") + F.sum("_c").over(W.partitionBy(*keys, "_b").orderBy("_v")))
+    pick = lambda k: F.min(F.when((F.col(k) > F.col("_upto") - F.col("_c")) & (F.col(k) <= F.col("_upto")), F.col("_v")))
+    out = r.groupBy(*keys).agg(pick("_k").alias("_a"), pick("_k2").alias("_z"), F.min("_k").alias("_k"))
+    out = out.alias("o").join(g.alias("g"), _equal("o", "g", keys)).select(*[F.col(f"o.{k}").alias(k) for k in keys], (F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("g._at") - F.col("g._k") + 1)).alias(name))
+    return out
+
+
+def _equal(a: str, b: str, keys: list[str]) -> Column:
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return same

@@ -13,7 +13,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions.text import drop_noise, strip_html
@@ -67,6 +67,21 @@ def infer(text: str, fallback: str | None = None) -> str | None:
     return best
 
 
+def word_counts(c: Column) -> list[Column]:
+    """How often the words of each section, in the order of WORDS, occur in a text; 0 for NULL."""
+    return [F.regexp_count(F.coalesce(c, F.lit("")), F.lit(p)).cast("bigint") for p in WORDS.values()]
+
+
+def inferred(c: Column) -> Column:
+    """:func:`infer` as an expression: the section whose words occur most (the first of equals), NULL where none do."""
+    n = word_counts(c)
+    most = F.greatest(*n)
+    out = F.when(most == 0, F.lit(None).cast("string"))
+    for k, x in zip(WORDS, n):
+        out = out.when(x == most, F.lit(k))
+    return out
+
+
 def parse(text: str) -> tuple[list[tuple[str, bool, list[str]]], list[str]]:
     """([(section, inferred, items)], unclassified items)."""
     text = unicodedata.normalize("NFKC", text)

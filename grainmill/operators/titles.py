@@ -130,6 +130,32 @@ def match_level(title: pd.Series, names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["level", "score", "name"])
 
 
+@F.pandas_udf(T.DoubleType())
+def best_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The largest Jaccard of a set of ``a`` and one of ``b``, both arrays of arrays; 0 where a side has none."""
+    made: dict[tuple, frozenset] = {}
+
+    def sets(xs) -> list[frozenset]:
+        out = []
+        for x in xs if xs is not None else []:
+            k = tuple(x)
+            if k not in made:
+                made[k] = frozenset(k)
+            out.append(made[k])
+        return out
+
+    rows = []
+    for x, y in zip(a, b):
+        best = 0.0
+        for s in sets(x):
+            for t in sets(y):
+                i = len(s & t)
+                if i:
+                    best = max(best, i / (len(s) + len(t) - i))
+        rows.append(best)
+    return pd.Series(rows, dtype="float64")
+
+
 def _flat(t: str) -> str:
     return "".join(ch for ch in t.lower() if ch.isalnum())
 
@@ -216,6 +242,7 @@ def match_titles(jobs: DataFrame, key: str, title: str, description: str, catalo
         clean = F.when(clean == a, F.lit(b)).otherwise(clean)
     j = j.withColumn("clean", clean).withColumns({"d": described(F.col("jd"), domains=lists.get("domain", [])), "f": term_features(F.col("clean"), F.col("jd"), lists), "class": major_class(F.concat_ws(" ", "clean", "jd"), keywords)})
     core = F.when(F.size("d.core") > 0, F.col("d.core")).when(F.size("d.sentences") > 0, F.slice("d.sentences", 1, 3)).otherwise(F.array("jd"))
+    j = j.withColumns({"asked": ngrams(compact(F.concat_ws(" ", "clean", "jd", F.array_join("d.keywords", " ")))), "core_w": F.transform("d.core", lambda s: F.array_distinct(tokens(s)))})
     j = j.withColumns({"tw": tokens(F.when(F.col("clean") == "", F.col("raw")).otherwise(F.col("clean"))), "sw": tokens(F.array_join(core, " "))})
     # the class filter holds only where it leaves an entry
     there = cat.select("major").distinct()
@@ -236,11 +263,11 @@ def match_titles(jobs: DataFrame, key: str, title: str, description: str, catalo
     fits = (F.col("class") != "") & F.contains("major", "class")
     x = x.filter(~F.col("inside") | fits)
     # signals of candidates only
-    asked = ngrams(compact(F.concat_ws(" ", "clean", "jd", F.array_join("d.keywords", " "))))
-    jaccard = lambda a, b: F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
-    overlap = F.coalesce(F.array_max(F.flatten(F.transform(F.transform("d.core", lambda s: F.array_distinct(tokens(s))), lambda s: F.transform("task_w", lambda t: jaccard(s, t))))), F.lit(0.0))
+    overlap = best_jaccard("core_w", "task_w")
+    common = F.size(F.array_intersect("asked", "about_g"))
+    desc = F.coalesce(common / F.nullif(F.size("asked") + F.size("about_g") - common, F.lit(0)), F.lit(0.0))
     level = match_level("clean", "names")
-    x = x.withColumns({"desc_score": jaccard(asked, F.col("about_g")), "class_score": fits.cast("double"), "task_overlap": overlap, "m": level})
+    x = x.withColumns({"desc_score": desc, "class_score": fits.cast("double"), "task_overlap": overlap, "m": level})
     alias = F.when(F.col("m.level") == "exact", BONUS["alias"]).when(F.col("m.level") == "normalized_exact", round(BONUS["alias"] * NORMAL_SHARE, 6)).otherwise(0.0)
     direct = F.when(F.col("m.level") == "exact", BONUS["direct"]).when(F.col("m.level") == "normalized_exact", round(BONUS["direct"] * NORMAL_SHARE, 6)).when(F.col("m.level") == "fuzzy", round(BONUS["direct"] * FUZZY_SHARE, 6)).otherwise(0.0)
     hits = F.size(terms_in(F.col("clean"), lists.get("generic", [])))

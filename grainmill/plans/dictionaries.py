@@ -11,7 +11,7 @@ from grainmill.operators import rules as L
 from grainmill.operators import skills
 from grainmill.operators import titles as T
 from grainmill.operators.retrieval import tokens
-from grainmill.plans.textual import _ITEMS, JOBS, _items
+from grainmill.plans.textual import _ITEMS, JOBS, TOKENS_SQL, _items
 from grainmill.sources.shared import cut
 from grainmill.sources.tables import table as t
 
@@ -37,7 +37,7 @@ _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _NARROW = ("".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ").replace("'", "''").replace("{", "{{").replace("}", "}}")
 _PLAIN = rf"regexp_replace(lower(translate(coalesce({{c}}, ''), '{_WIDE}', '{_NARROW}')), '[^\p{{{{L}}}}\p{{{{M}}}}\p{{{{Nd}}}}\p{{{{Nl}}}}]', '', 'g')"
 _GRAMS = "list_distinct(list_transform(range(1, greatest(length({c}) - 1, 1) + 1), lambda i: substring({c}, i, 2)))"
-_TOKENS = "list_concat(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), flatten(list_transform(regexp_extract_all(lower(coalesce({c}, '')), '[一-鿿]+'), lambda r: list_transform(range(1, greatest(length(r) - 1, 1) + 1), lambda i: substring(r, i, 2)))))"
+_TOKENS = TOKENS_SQL
 
 FUNCTION, OBJECT = ["经理", "专员", "工程师", "主管", "讲师", "采购员", "协调员"], ["电池", "纺织", "客户", "食品", "网络", "建筑", "汽车", "影视"]
 GENERIC, DOMAIN = ["经理", "主管", "专员", "助理"], ["新能源", "电商", "物流", "教育", "医疗"]
@@ -115,8 +115,8 @@ def title_tiers(s, d):
     # titles without a pair of characters in common with an official one have no token in common either
     spaced = lambda x: F.array_join(F.array_distinct(tokens(x)), " ")
     met = last.select("title", F.explode(F.array_distinct(tokens(F.col("title")))).alias("w")).join(o.select("name", "code", F.explode(F.array_distinct(tokens(F.col("name")))).alias("w")), "w").select("title", "name", "code").distinct()
-    r = met.withColumns({"a": spaced(F.col("title")), "b": spaced(F.col("name"))})
-    r = cut(r.withColumn("score", F.round(T.token_set_ratio("a", "b"), 4)).select("title", "name", "code", "score"))
+    r = cut(met.withColumns({"a": spaced(F.col("title")), "b": spaced(F.col("name"))}))
+    r = r.select("title", "code", F.round(T.token_set_ratio("a", "b"), 4).alias("score"))
     return e.unionByName(c).unionByName(R.first_per_key(r, ["title"], [F.desc("score"), F.col("code")]).select("title", "code", "score"))
 
 

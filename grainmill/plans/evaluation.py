@@ -11,6 +11,7 @@ from grainmill.operators import agreement as A
 from grainmill.operators import graph, sections, skills
 from grainmill.operators import relational as R
 from grainmill.operators import retrieval as V
+from grainmill.plans.textual import TOKENS_SQL
 from grainmill.sources.tables import table as t
 
 QUERIES: dict = {}
@@ -115,16 +116,14 @@ def mrr_rank(s, d):
     return first.agg(F.count("*").alias("n_queries"), F.round(F.avg(1.0 / r), 6).alias("mrr"), F.round(F.avg(r), 4).alias("mean_rank"), F.round(F.avg((F.coalesce("first", F.lit(0)) == 1).cast("double")), 6).alias("top1"))
 
 
-_TOK = r"list_transform(regexp_extract_all(coalesce({c}, ''), '[A-Za-z0-9]+'), lambda z: lower(z))"
-
-
-@query(f"""WITH d AS (SELECT doc_id, {_TOK.format(c='text')} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), p AS (SELECT doc_id, len, tok, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS tok FROM d) GROUP BY 1, 2, 3), f AS (SELECT tok, count(*) AS df FROM p GROUP BY 1),
-q AS (SELECT code, tok, count(*) AS qtf FROM (SELECT code, unnest({_TOK.format(c="array_to_string(aliases, ' ')")}) AS tok FROM occ_dict_unified WHERE is_terminal) GROUP BY 1, 2),
+@query(f"""WITH d AS (SELECT doc_id, {TOKENS_SQL.format(c='text')} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), p AS (SELECT doc_id, len, tok, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS tok FROM d) GROUP BY 1, 2, 3), f AS (SELECT tok, count(*) AS df FROM p GROUP BY 1),
+q AS (SELECT code, tok, count(*) AS qtf FROM (SELECT code, unnest({TOKENS_SQL.format(c="(title || ' ' || array_to_string(aliases, ' '))")}) AS tok FROM occ_dict_unified WHERE is_terminal) GROUP BY 1, 2),
 s AS (SELECT code, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avgdl))) AS score FROM q JOIN f ON q.tok = f.tok JOIN p ON p.tok = q.tok, st GROUP BY 1, 2)
 SELECT code, doc_id, round(score, 2) AS score FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY round(score, 3) DESC, doc_id) AS rn FROM s) WHERE rn <= 5""")
 def bm25_search(s, d):
-    docs = t(s, d, "documents", "doc_id", "text").select("doc_id", V.word_tokens(F.col("text")).alias("w"))
-    q = t(s, d, "occ_dict_unified").filter("is_terminal").select("code", V.word_tokens(F.array_join("aliases", " ")).alias("qw"))
+    """Occupations by title and aliases against all texts: Latin words and pairs of Han characters."""
+    docs = t(s, d, "documents", "doc_id", "text").select("doc_id", V.tokens(F.col("text")).alias("w"))
+    q = t(s, d, "occ_dict_unified").filter("is_terminal").select("code", V.tokens(F.concat("title", F.lit(" "), F.array_join("aliases", " "))).alias("qw"))
     r = V.bm25(docs, "doc_id", "w", q, "code", "qw")
     return R.top_k_per_group(r, ["code"], [F.round("score", 3).desc(), F.col("doc_id")], 5).withColumn("score", F.round("score", 2))
 
@@ -169,15 +168,19 @@ def contains_theta_join(s, d):
     return skills.contained_terms(t(s, d, "documents", "doc_id", "text"), "doc_id", "text", terms, "term")
 
 
-@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '\b(?:shopify|erp|excel|python|sql|hplc|ros|plc)\b'), lambda x: x))), ',') AS found FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[a-zA-Z0-9]_|_[a-zA-Z0-9]')""")
+_FOUND = ", ".join(f"CASE WHEN regexp_matches(lower(text), '(?:^|[^a-z0-9]){w}(?:[^a-z0-9]|$)') THEN '{w}' END" if w.isascii() else f"CASE WHEN contains(text, '{w}') THEN '{w}' END" for w in sorted(_WORDS))
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{_FOUND}], lambda x: x IS NOT NULL), ',') AS found FROM documents")
 def run_skill_match(s, d):
-    x = t(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL").filter(~F.col("text").rlike(r"[a-zA-Z0-9]_|_[a-zA-Z0-9]"))
-    return x.select("doc_id", F.array_join(F.array_sort(skills.matcher([w for w in _WORDS if w.isascii()])(F.col("text"))), ",").alias("found"))
+    """The listed skills of every text; Latin ones not inside a longer word or number."""
+    x = t(s, d, "documents", "doc_id", "text").withColumn("f", skills.matcher(_WORDS)(F.col("text")))
+    return x.select("doc_id", F.array_join(F.array_sort("f"), ",").alias("found"))
 
 
 @query()
 def skill_matches(s, d):
-    """The listed skills of every text, also of those in which an underscore touches a letter or digit, where SQL's word boundary differs."""
+    """The Latin skills of every text that is not NULL."""
     x = t(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL")
     return x.select("doc_id", F.array_join(F.array_sort(skills.matcher([w for w in _WORDS if w.isascii()])(F.col("text"))), ",").alias("found"))
 

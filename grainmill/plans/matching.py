@@ -45,16 +45,8 @@ def candidate_supplement(s, d):
     li = t(s, d, "lineitem", "l_orderkey", "l_suppkey", "l_discount", "l_returnflag").toDF("q", "code", "s", "flag")
     out = t(s, d, "supplier", "s_suppkey").filter("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("code"))
     parts = [li.filter(F.col("flag") == "R"), li.filter(F.col("flag") == "A"), li.filter(~F.col("flag").isin("R", "A"))]
-    every = C.supplement([p.withColumn("code", F.col("code").cast("string")) for p in parts], "q", "code", "s", 5 * 10**6, out.withColumn("code", F.col("code").cast("string")))
-    # codes are numbers here: their order is that of numbers
-    x = every.select("q", F.col("code").cast("bigint").alias("code"), "score", "source")
-    return R.top_k_per_group(x, ["q"], [F.col("source"), F.desc("score"), F.col("code")], 5).withColumn("slot", F.row_number().over(_w())).withColumn("slot", F.col("slot").cast("bigint"))
-
-
-def _w():
-    from pyspark.sql.window import Window as W
-
-    return W.partitionBy("q").orderBy("source", F.desc("score"), "code")
+    x = C.supplement(parts, "q", "code", "s", 5, out)
+    return x.select("q", "code", "score", "source", F.col("slot").cast("bigint").alias("slot"))
 
 
 @query(_CAND + """, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, code) AS rn, lead(score) OVER (PARTITION BY q ORDER BY score DESC, code) AS nx, count(*) OVER (PARTITION BY q) AS n FROM c), z AS (SELECT q, score, round(score - coalesce(nx, 0), 6) AS margin, n FROM r WHERE rn = 1)

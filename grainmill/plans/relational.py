@@ -47,7 +47,9 @@ def share_before_filter(s, d):
 def category_stats_median(s, d):
     x = t(s, d, "lineitem", "l_partkey", "l_extendedprice").join(t(s, d, "part", "p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     p = F.col("l_extendedprice")
-    return x.groupBy("p_brand").agg(F.round(F.avg(p), 2).alias("mean_price"), F.round(F.median(p), 2).alias("median_price"), F.min(p).alias("min_price"), F.max(p).alias("max_price"), F.count("*").alias("n"))
+    g = x.groupBy("p_brand").agg(F.round(F.avg(p), 2).alias("mean_price"), F.min(p).alias("min_price"), F.max(p).alias("max_price"), F.count("*").alias("n"))
+    m = R.exact_quantile(x, ["p_brand"], "l_extendedprice", 0.5, "median_price").withColumn("median_price", F.round("median_price", 2))
+    return g.join(m, "p_brand", "left")
 
 
 @query("""SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, round(avg(o_totalprice), 2) AS mean_price, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) >= 10""")
@@ -134,8 +136,11 @@ def chunk_ranges(s, d):
 
 @query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, max(l_extendedprice) AS most, count(*) AS n FROM lineitem GROUP BY 1""")
 def percentile_summary(s, d):
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.5), F.lit(0.95)))
-    return t(s, d, "lineitem", "l_returnflag", "l_extendedprice").groupBy("l_returnflag").agg(q.alias("q"), F.max("l_extendedprice").alias("most"), F.count("*").alias("n")).select("l_returnflag", F.round(F.col("q")[0], 4).alias("p50"), F.round(F.col("q")[1], 4).alias("p95"), "most", "n")
+    x = t(s, d, "lineitem", "l_returnflag", "l_extendedprice")
+    out = x.groupBy("l_returnflag").agg(F.max("l_extendedprice").alias("most"), F.count("*").alias("n"))
+    for q, name in ((0.5, "p50"), (0.95, "p95")):
+        out = out.join(R.exact_quantile(x, ["l_returnflag"], "l_extendedprice", q, name), "l_returnflag", "left")
+    return out.withColumns({"p50": F.round("p50", 4), "p95": F.round("p95", 4)})
 
 
 @query("""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS rn FROM events) WHERE rn = 1""")
@@ -197,9 +202,10 @@ SELECT l.task_id, CASE WHEN l.record IS NOT NULL THEN r.job_title ELSE r2.job_ti
 def left_alt_key(s, d):
     left = R.first_per_key(t(s, d, "label_studio_tasks_v2", "task_id", "recruitment_record_id", "row_id", "updated_at"), ["task_id"], [F.desc("updated_at")]).select("task_id", F.nullif(F.col("recruitment_record_id"), F.lit("")).alias("record"), "row_id")
     r = t(s, d, "recruitment_jobs_normalized").groupBy(F.col("recruitment_record_id").alias("record")).agg(F.min("source_row_number").alias("row_id"), F.min("job_title").alias("job_title"))
-    has = left.filter("record IS NOT NULL").join(r.drop("row_id"), "record", "left").select("task_id", "job_title")
-    r2 = r.groupBy("row_id").agg(F.min("job_title").alias("job_title"))
-    return has.unionByName(left.filter("record IS NULL").join(r2, "row_id", "left").select("task_id", "job_title"))
+    # one row a record, and one a row number: each key of its own side
+    by_row = r.filter("record IS NOT NULL").groupBy("row_id").agg(F.min("job_title").alias("job_title")).withColumn("record", F.lit(None).cast("string"))
+    right = r.withColumn("row_id", F.lit(None).cast("bigint")).unionByName(by_row)
+    return R.alternative_key_join(left, right, ["record"], ["row_id"]).select("task_id", "job_title")
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE 'partial' END AS status, coalesce(nullif(trim(o_orderpriority), ''), 'none') AS priority FROM orders""")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from grainmill.functions import text as X
 from grainmill.operators import relational as R
+from grainmill.operators import sections
+from grainmill.operators.retrieval import tokens
 from grainmill.sources.tables import table as t
 
 QUERIES: dict = {}
@@ -76,7 +80,8 @@ def range_parse(s, d):
 SELECT education, city, CAST(sum(CAST(round((r[1] + r[2]) * 50) AS BIGINT)) AS BIGINT) AS total_cents, round(median((r[1] + r[2]) / 2), 2) AS median_pay, count(*) AS n FROM b WHERE r IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5""")
 def pay_by_education_city(s, d):
     x = dims(s, d).withColumn("r", X.salary_range(F.col("salary_raw"))).filter("r IS NOT NULL").select("education", "city", ((F.col("r.low") + F.col("r.high")) / 2).alias("pay"))
-    return x.groupBy("education", "city").agg(F.sum(F.round(F.col("pay") * 100).cast("bigint")).alias("total_cents"), F.round(F.median("pay"), 2).alias("median_pay"), F.count("*").alias("n")).filter("n >= 5")
+    g = x.groupBy("education", "city").agg(F.sum(F.round(F.col("pay") * 100).cast("bigint")).alias("total_cents"), F.count("*").alias("n")).filter("n >= 5")
+    return g.join(R.exact_quantile(x, ["education", "city"], "pay", 0.5, "median_pay").withColumn("median_pay", F.round("median_pay", 2)), ["education", "city"], "left")
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:
@@ -93,10 +98,10 @@ def item_split_reliability(s, d):
 
 @query()
 def requirement_constraints(s, d):
-    """Constraint facts of each distinct item: one row a record, item and constraint."""
-    x = _items(s, d).select("recruitment_record_id", F.posexplode("items").alias("item_index", "item")).distinct()
-    x = x.withColumn("plain", X.item_plain(F.col("item"))).filter(F.col("plain").rlike(r"[年岁]|不限|限[男女]|高中|中专|大专|本科|硕士|博士"))
-    return x.select("recruitment_record_id", "item_index", F.explode(X.item_constraints(F.col("plain"))).alias("f")).select("recruitment_record_id", "item_index", "f.*").distinct()
+    """Constraint facts, each distinct item read once: one row a record, item and constraint."""
+    x = _items(s, d).select("recruitment_record_id", F.posexplode("items").alias("item_index", "item")).filter(F.col("item").rlike(r"[年岁级]|不限|限\s*[男女]|高中|中专|大专|本科|硕士|博士")).distinct()
+    facts = x.select("item").distinct().withColumn("facts", X.item_constraints(X.item_plain(F.col("item")))).filter(F.size("facts") > 0)
+    return x.join(facts, "item").select("recruitment_record_id", "item_index", F.explode("facts").alias("f")).select("recruitment_record_id", "item_index", "f.*").distinct()
 
 
 @query()
@@ -105,24 +110,32 @@ def constraint_frequency(s, d):
     f = requirement_constraints(s, d)
     n = t(s, d, JOBS).agg(F.countDistinct("recruitment_record_id").alias("all"))
     g = f.groupBy("dimension", "operator").agg(F.countDistinct("recruitment_record_id").alias("n_records"), F.count("*").alias("n_facts"))
-    return g.join(F.broadcast(n)).select("dimension", "operator", "n_records", "n_facts", F.round(F.col("n_records") / F.greatest(F.lit(1), F.col("all")), 6).alias("share"))  # one row
+    return g.withColumn("share", F.round(F.col("n_records") / F.greatest(F.lit(1), n.scalar()), 6))
 
 
-_DUTY, _REQ, _BEN = "负责|参与|执行|制定|跟进|处理|管理|维护|协助|推进|搭建|优化|协同", "学历|专业|经验|优先|熟练|能力|证|年龄|具备|了解", "福利|待遇|补贴|奖金|住宿|五险一金|年假|体检|双休"
+_REQ, _BEN = "学历|专业|经验|优先|熟练|能力|证|年龄|具备|了解", "福利|待遇|补贴|奖金|住宿|五险一金|年假|体检|双休"
+_COUNTS = ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p}')) AS n{i}" for i, p in enumerate(sections.WORDS.values()))
+_FIRST = "CASE WHEN greatest(n0, n1, n2, n3) = 0 THEN NULL " + " ".join(f"WHEN n{i} = greatest(n0, n1, n2, n3) THEN '{k}'" for i, k in enumerate(sections.WORDS)) + " END"
 
 
-@query(f"""WITH c AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_DUTY}')) AS duty, len(regexp_extract_all(coalesce(text, ''), '{_REQ}')) AS req, len(regexp_extract_all(coalesce(text, ''), '{_BEN}')) AS ben FROM documents)
-SELECT doc_id, CAST(duty AS BIGINT) AS duty, CAST(req AS BIGINT) AS req, CAST(ben AS BIGINT) AS ben, CASE WHEN greatest(duty, req, ben) = 0 THEN NULL WHEN duty >= req AND duty >= ben THEN '岗位职责' WHEN req >= ben THEN '任职要求' ELSE '福利待遇' END AS section FROM c""")
+@query(f"SELECT doc_id, CAST(n0 AS BIGINT) AS duty, CAST(n1 AS BIGINT) AS req, CAST(n2 AS BIGINT) AS ben, {_FIRST} AS section FROM (SELECT doc_id, {_COUNTS} FROM documents)")
 def section_inference(s, d):
-    n = lambda p: F.regexp_count(F.coalesce("text", F.lit("")), F.lit(p)).cast("bigint")
-    x = t(s, d, "documents", "doc_id", "text").select("doc_id", n(_DUTY).alias("duty"), n(_REQ).alias("req"), n(_BEN).alias("ben"))
-    return x.withColumn("section", F.when(F.greatest("duty", "req", "ben") == 0, None).when((F.col("duty") >= F.col("req")) & (F.col("duty") >= F.col("ben")), "岗位职责").when(F.col("req") >= F.col("ben"), "任职要求").otherwise("福利待遇"))
+    n = sections.word_counts(F.col("text"))
+    return t(s, d, "documents", "doc_id", "text").select("doc_id", n[0].alias("duty"), n[1].alias("req"), n[2].alias("ben"), sections.inferred(F.col("text")).alias("section"))
+
+
+_NAMES = "MAP {" + ", ".join(f"'{k}': chr({v})" for k, v in sorted(name2codepoint.items())) + ", 'apos': chr(39)}"
+_NAME = "regexp_extract(z, '^(#?[A-Za-z0-9]{1,10});', 1)"
+_DECODED = f"CASE WHEN {_NAME} <> '' AND names[{_NAME}] IS NOT NULL THEN names[{_NAME}] || substring(z, length({_NAME}) + 2) WHEN regexp_matches({_NAME}, '^#[0-9]{{1,7}}$') AND TRY_CAST(substring({_NAME}, 2) AS INTEGER) BETWEEN 1 AND 1114111 THEN chr(TRY_CAST(substring({_NAME}, 2) AS INTEGER)) || substring(z, length({_NAME}) + 2) ELSE '&' || z END"
+_NO_TAGS = r"regexp_replace(regexp_replace(coalesce(job_description_raw, ''), '(?i)<br[^<>]*>|</(?:p|div|li|ul|ol|tr|table|section|article|h[1-6])[^<>]*>', chr(10), 'g'), '<[^<>]+>', '', 'g')"
 
 
-@query(f"""SELECT recruitment_record_id, source_table, source_row_number, md5(regexp_replace(regexp_replace(coalesce(job_description_raw, ''), '<[^>]+>', '', 'g'), '[\\t\\n\\f\\r ]+', '', 'g')) AS digest FROM {JOBS}""")
+@query(f"""WITH n AS (SELECT {_NAMES} AS names), a AS (SELECT recruitment_record_id, source_table, source_row_number, string_split({_NO_TAGS}, '&') AS ps FROM {JOBS}), b AS (SELECT recruitment_record_id, source_table, source_row_number, ps[1] || array_to_string(list_transform(ps[2:], lambda z: {_DECODED}), '') AS x FROM a, n)
+SELECT recruitment_record_id, source_table, source_row_number, md5(translate(regexp_replace(x, '</?[A-Za-z][^<>]*>', '', 'g'), '“”‘’', '""''''')) AS digest FROM b""")
 def html_strip(s, d):
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce("job_description_raw", F.lit("")), "<[^>]+>", ""), r"[\t\n\f\r ]+", "")
-    return t(s, d, JOBS).select("recruitment_record_id", "source_table", "source_row_number", F.md5(plain).alias("digest"))
+    """Descriptions without mark-up, as digests of what is left."""
+    x = t(s, d, JOBS, "recruitment_record_id", "source_table", "source_row_number", "job_description_raw")
+    return x.select("recruitment_record_id", "source_table", "source_row_number", F.md5(X.strip_html(F.col("job_description_raw"))).alias("digest"))
 
 
 @query(f"""WITH x AS (SELECT *, {_safe('job_title')} AS a, {_safe('company_name')} AS b, {_safe('work_city')} AS c FROM {JOBS}) SELECT recruitment_record_id, source_table, source_row_number, sha1(lower(a) || '||' || lower(b) || '||' || lower(c)) AS digest FROM x""")
@@ -170,10 +183,14 @@ def industry_trend(s, d):
     return R.lagged(g, ["industry"], ["month"], "n")
 
 
-@query("""WITH w AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}')) AS word FROM documents), g AS (SELECT lang, word, count(*) AS n FROM w WHERE lang IS NOT NULL GROUP BY 1, 2), a AS (SELECT word, sum(n) AS total FROM g GROUP BY 1)
+TOKENS_SQL = "list_concat(list_transform(regexp_extract_all(coalesce({c}, ''), '[A-Za-z0-9]+'), lambda z: lower(z)), flatten(list_transform(regexp_extract_all(coalesce({c}, ''), '[一-鿿]+'), lambda r: list_transform(range(1, greatest(length(r) - 1, 1) + 1), lambda i: substring(r, i, 2)))))"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT doc_id, lang, unnest({TOKENS_SQL.format(c='text')}) AS word FROM documents), g AS (SELECT lang, word, count(*) AS n FROM w WHERE lang IS NOT NULL AND regexp_matches(word, '^(?:[a-z]{{3,}}|[一-鿿]{{2}})$') GROUP BY 1, 2), a AS (SELECT word, sum(n) AS total FROM g GROUP BY 1)
 SELECT lang, word, n, score FROM (SELECT lang, g.word, n, round(n / total, 6) AS score, row_number() OVER (PARTITION BY lang ORDER BY round(n / total, 6) DESC, n DESC, g.word) AS rn FROM g JOIN a ON g.word = a.word WHERE n >= 3) WHERE rn <= 10""")
 def keyword_distinctiveness(s, d):
-    w = t(s, d, "documents", "doc_id", "lang", "text").filter("lang IS NOT NULL").select("doc_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([a-z]{3,})")))).alias("word"))
+    """Words of three Latin letters or more and pairs of Han characters, by how much they belong to one language's texts."""
+    w = t(s, d, "documents", "doc_id", "lang", "text").filter("lang IS NOT NULL").select("doc_id", "lang", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).filter(F.col("word").rlike(r"^(?:[a-z]{3,}|[一-鿿]{2})$"))
     g = w.groupBy("lang", "word").agg(F.count("*").alias("n"))
     g = g.withColumn("score", F.round(F.col("n") / F.sum("n").over(W.partitionBy("word")), 6)).filter("n >= 3")
     return R.top_k_per_group(g, ["lang"], [F.desc("score"), F.desc("n"), F.col("word")], 10)
