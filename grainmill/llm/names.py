@@ -116,16 +116,16 @@ def read_names(names: DataFrame, column: str, places: str | None = None) -> Data
     # Latin: the words left after forms, city and trade are the brand
     e = F.trim(F.regexp_replace(F.regexp_replace(F.col("t"), r"[^a-z0-9]+", " "), LEGAL_EN, " "))
     cities_en = "|".join(CITIES_EN)
-    y = x.filter(~F.col("t").rlike(r"\p{IsHan}")).withColumn("_e", F.regexp_replace(e, " +", " "))
+    y = cut(x.filter(~F.col("t").rlike(r"\p{IsHan}")).select("name", "t", F.regexp_replace(e, " +", " ").alias("_e")))
     inside = F.trim(F.regexp_replace(F.regexp_extract("t", r"\(([a-z][a-z .-]{2,})\)", 1), r"[^a-z]+", " "))
     inside = F.when((inside != "") & ~inside.rlike(rf"\b(?:{'|'.join(TRADES_EN)})\b|{LEGAL_EN}"), inside)
     y = y.withColumn("_ce", F.coalesce(inside, F.regexp_extract("_e", rf"\b({cities_en})\b", 1)))
     words = F.filter(F.split(F.trim(F.regexp_replace(F.concat(F.lit(" "), "_e", F.lit(" ")), F.concat(F.lit(" "), F.when(F.col("_ce") == "", F.lit("\n")).otherwise(F.col("_ce")), F.lit(" ")), F.lit(" "))), " +"), lambda w: w != "")
-    y = y.withColumn("_w", words)
+    y = cut(y.withColumn("_w", words).select("name", "_e", "_ce", "_w"))
     known = F.array(*map(F.lit, TRADES_EN))
     y = y.withColumn("_te", F.try_element_at(F.array_compact(F.transform("_w", lambda w: F.try_element_at(F.filter(known, lambda k: (k == w) | ((F.length(w) == 4) & k.startswith(w))), F.lit(1)))), F.lit(1)))
     glued = F.array_join(F.when(F.col("_te").isNull(), F.col("_w")).otherwise(F.filter("_w", lambda w: ~((w == F.col("_te")) | ((F.length(w) == 4) & F.col("_te").startswith(w))))), "")
-    y = y.withColumn("_g", glued)
+    y = cut(y.withColumn("_g", glued).select("name", "_e", "_ce", "_te", "_g"))
     ending = F.regexp_extract("_g", rf"^.{{3,}}({'|'.join(TRADES_EN)})$", 1)
     brand_en = F.when(F.col("_te").isNull() & (ending != ""), F.expr("left(_g, length(_g) - length(regexp_extract(_g, '(" + "|".join(TRADES_EN) + ")$', 1)))")).otherwise(F.col("_g"))
     en = y.select("name", F.col("_ce").alias("city"), F.coalesce("_te", ending).alias("trade"), brand_en.alias("brand"), "_e")

@@ -36,6 +36,7 @@ BUCKET = 200  #: Classes of a bucket beyond which it is split.
 SHARED = 0.6  #: Least share of wording, by length of shared clauses against the longer text: between "less than about half" and "two thirds".
 BINS = 1 << 20  #: Bins of the histogram of clauses that gives their order, whatever the number of clauses.
 CHUNK = 16_000  #: Most characters of one number of :func:`tokens`.
+LEVELS = (8, 13)  #: Lengths from which on clauses are of the next level of a sketch.
 LEAST_CHARS = 40
 
 _TAG = re.compile(r"<[^<>]{0,200}>")
@@ -231,30 +232,30 @@ def class_pairs(feat: DataFrame, shared: float = SHARED) -> DataFrame:
 def _sketched(pairs: DataFrame, feat: DataFrame, shared: float) -> DataFrame:
     """``pairs`` without those whose sketches rule them out, before any clauses are sent.
 
-    A sketch has a bit for each clause (of 128) and the most clauses that a text can have apart from the other, its lightest ones; more
-    bits that the other lacks are more such clauses.  No pair that shares enough is dropped.
+    A sketch has, for clauses of each level of length, 64 bits that tell which clauses a text may hold, and the shortest clause of the level: a bit
+    that the other text lacks is a clause apart of at least that length.  No pair that shares enough is dropped.
     """
+    n = len(LEVELS) + 1
 
     def run(batches):
         for b in batches:
             row, tok, w, _ = _tokens(b)
-            total = np.bincount(row, w, minlength=b.num_rows)
-            bit = (_mix(tok, tok) >> 40) & 127
-            out = []
-            for half in (0, 1):
-                s, mine = np.zeros(b.num_rows, np.int64), (bit >> 6) == half
-                np.bitwise_or.at(s, row[mine], (np.uint64(1) << (bit[mine] & 63).astype(np.uint64)).view(np.int64))
-                out.append(s)
-            o = np.lexsort((w, row))
-            upto = np.cumsum(w[o]) - np.repeat(np.cumsum(total) - total, np.bincount(row, minlength=b.num_rows))
-            apart = np.bincount(row[o][upto <= (1 - shared) * total[row[o]] + 1e-6], minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("cls"), *[pa.array(x) for x in out], pa.array(apart, pa.int32())], ["cls", "s0", "s1", "apart"])
-
-    sketch = cut(feat.mapInArrow(run, "cls bigint, s0 bigint, s1 bigint, apart int"))
-    side = lambda s: sketch.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("s0", "s1", "apart")])
-    lacks = lambda x, y: F.bit_count(F.expr(f"s0_{x} & ~s0_{y}")) + F.bit_count(F.expr(f"s1_{x} & ~s1_{y}"))
+            m = b.num_rows
+            bit = np.uint64(1) << ((_mix(tok, tok) >> 40) & 63).astype(np.uint64)
+            level = np.searchsorted(np.array(LEVELS), w, side="right")
+            bits, least = np.zeros(m * n, np.uint64), np.full(m * n, CHUNK + 1, np.int64)
+            np.bitwise_or.at(bits, row * n + level, bit)
+            np.minimum.at(least, row * n + level, w)
+            bits, least = bits.view(np.int64).reshape(m, n), least.reshape(m, n)
+            room = ((1 - shared) * np.bincount(row, w, minlength=m) + 1e-6).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(room, pa.int32()), *[pa.array(bits[:, i]) for i in range(n)], *[pa.array(least[:, i], pa.int16()) for i in range(n)]], ["cls", "room", *[f"s{i}" for i in range(n)], *[f"m{i}" for i in range(n)]])
+
+    cols = ["room", *[f"s{i}" for i in range(n)], *[f"m{i}" for i in range(n)]]
+    sketch = cut(feat.mapInArrow(run, "cls bigint, room int, " + ", ".join(f"s{i} bigint" for i in range(n)) + ", " + ", ".join(f"m{i} smallint" for i in range(n))))
+    side = lambda s: sketch.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
+    apart = lambda x, y: sum((F.bit_count(F.expr(f"s{i}_{x} & ~s{i}_{y}")) * F.col(f"m{i}_{x}").cast("int") for i in range(n)), F.lit(0))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter((lacks("a", "b") <= F.col("apart_a")) & (lacks("b", "a") <= F.col("apart_b"))).select("a", "b")
+    return both.filter((apart("a", "b") <= F.col("room_a")) & (apart("b", "a") <= F.col("room_b"))).select("a", "b")
 
 
 def _share(a: str, b: str):
