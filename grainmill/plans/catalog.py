@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from grainmill.plans import dictionaries, evaluation, matching, relational, reports, textual
+from grainmill.plans import dictionaries, evaluation, matching, relational, reports, streams, textual
 
-MODULES = [relational, textual, evaluation, matching, reports, dictionaries]
+MODULES = [relational, textual, evaluation, matching, reports, dictionaries, streams]
 
 
 def queries() -> dict:

@@ -299,11 +299,6 @@ def insert_if_absent(s, d):
     return R.insert_absent(r.filter("r_regionkey < 2"), r, ["r_regionkey"])
 
 
-@query("""SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2""")
-def events_tumbling(s, d):
-    return t(s, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("window_start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
-
-
 @query("""SELECT c_mktsegment, c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)""")
 def cube_totals(s, d):
     return t(s, d, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
