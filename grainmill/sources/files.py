@@ -194,10 +194,12 @@ def read_xlsx(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
         rows = []
         for row in (e for e in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter() if tag(e) == "row"):
             cells: dict[int, str] = {}
+            last = 0
             for c in row:
                 n = 0
-                for ch in re.match(r"[A-Z]+", c.get("r", "A")).group():
+                for ch in re.match(r"[A-Z]*", c.get("r", "")).group():
                     n = n * 26 + ord(ch) - 64
+                n = last = n or last + 1
                 v = next((e.text or "" for e in c if tag(e) == "v"), None)
                 cells[n] = shared[int(v)] if c.get("t") == "s" else text(c) if c.get("t") == "inlineStr" else v
             rows.append([cells.get(i) for i in range(1, max(cells, default=0) + 1)])
@@ -246,6 +248,8 @@ def simple_yaml(text: str) -> dict:
         while i < len(lines) and lines[i][0] == depth:
             line = lines[i][1]
             if isinstance(out, list):
+                if not line.startswith("-"):
+                    break
                 out.append(scalar(line[1:]))
                 i += 1
                 continue

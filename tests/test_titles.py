@@ -95,7 +95,7 @@ def test_dictionaries(spark):
     x = spark.createDataFrame([("会数据分析与数据，SQLs 不算 sql 算",), (None,)], "t string")
     assert [r[0] for r in x.select(D.longest_at(["数据", "数据分析", "分析", "SQL"])("t")).collect()] == [["数据分析", "分析", "数据", "sql"], []]
     e = x.select(D.rule_entities(["分析"], ["数据分析", "数据"])("t").alias("e")).head()["e"]
-    assert [(s["label"], s["text"]) for s in e] == [("SKILL", "数据"), ("TITLE", "分析"), ("SKILL", "数据")]
+    assert [(s["label"], s["text"]) for s in e] == [("TITLE", "分析"), ("SKILL", "数据")]  # the longer skill overlaps the title
     ok = spark.createDataFrame([("用SQL查询", [(1, 4, "T", "SQL"), (1, 3, "T", "SQ"), (0, 9, "T", "x"), (4, 6, "S", "查询")])], "t string, e array<struct<start:int,end:int,label:string,text:string>>")
     assert [x["text"] for x in ok.select(D.valid_entities(F.col("e"), F.col("t")).alias("e")).head()["e"]] == ["SQL", "查询"]
     tags = spark.createDataFrame([(list("abcde"), ["I-X", "I-X", "B-X", "O", "I-Y"]), ([], [])], "w array<string>, g array<string>")
