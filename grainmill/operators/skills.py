@@ -13,7 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+try:
+    import ahocorasick
+except ImportError:  # the join does the same
+    ahocorasick = None
+
 MAX_TERMS = 200_000
+FEW = 20_000  #: Terms up to which an automaton is sent to the tasks: some megabytes.
 
 
 @lru_cache(maxsize=8)
@@ -39,13 +45,34 @@ def matcher(terms: list[str]):
     return find
 
 
+def _contained(terms: list[str]):
+    """A function of a text column: the distinct terms it contains, also inside one another."""
+
+    @F.pandas_udf("array<string>")
+    def find(texts: pd.Series) -> pd.Series:
+        auto = ahocorasick.Automaton()
+        for t in terms:
+            auto.add_word(t, t)
+        if terms:
+            auto.make_automaton()
+        return pd.Series([list(dict.fromkeys(v for _, v in auto.iter(t))) if terms else [] for t in texts])
+
+    return find
+
+
 def contained_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str, n: int = 2) -> DataFrame:
-    """key, term of every term that a text contains, by an equality join on the term's first ``n`` characters, then verified.
+    """key, term of every term that a text contains, each pair once.
 
-    For dictionaries of any size: nothing is broadcast.  Terms shorter than ``n`` are matched on what they have.
+    Up to ``FEW`` terms (counted first) become an automaton that reads every text once, in Arrow batches; more are met by an equality join on
+    the term's first ``n`` characters, then verified, with nothing broadcast.  Terms shorter than ``n`` are matched on what they have.
     """
     t = terms.select(F.lower(term).alias("term")).filter("term <> ''").distinct()
+    few = [r["term"] for r in t.limit(FEW + 1).collect()] if ahocorasick else []
+    if ahocorasick and len(few) <= FEW:
+        d = texts.select(F.col(key), F.lower(F.coalesce(text, F.lit(""))).alias("_t")).filter("_t <> ''")
+        return d.select(key, F.explode(_contained(sorted(few))(F.col("_t"))).alias("term")).distinct()
     d = texts.select(F.col(key).alias("_k"), F.lower(F.coalesce(text, F.lit(""))).alias("_t")).filter("_t <> ''").distinct()
+    d = d.withColumn("_k0", F.col("_k")).withColumn("_k", F.struct(F.col("_k0").alias("k")))
     chars = F.filter(F.split("_t", ""), lambda x: x != "")
 
     def heads(m: int) -> Column:
@@ -55,9 +82,9 @@ def contained_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, ter
     long = t.filter(F.length("term") >= n).withColumn("_h", F.substring("term", 1, n))
     # the texts themselves come in only for keys and terms whose heads met
     met = h.select("_k", F.explode(heads(n)).alias("_h")).join(long, "_h").select("_k", "term")
-    out = met.join(d, "_k").filter(F.contains("_t", "term")).select(F.col("_k").alias(key), "term")
+    out = met.join(d, "_k").filter(F.contains("_t", "term")).select(F.col("_k0").alias(key), "term")
     short = t.filter(F.length("term") < n).withColumn("_h", F.substring("term", 1, 1))
-    one = h.select("_k", F.explode(heads(1)).alias("_h")).join(short, "_h").select("_k", "term").join(d, "_k").filter(F.contains("_t", "term")).select(F.col("_k").alias(key), "term")
+    one = h.select("_k", F.explode(heads(1)).alias("_h")).join(short, "_h").select("_k", "term").join(d, "_k").filter(F.contains("_t", "term")).select(F.col("_k0").alias(key), "term")
     return out.unionByName(one).distinct()
 
 

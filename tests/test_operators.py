@@ -128,3 +128,13 @@ def test_sections(spark):
     assert got[0]["duties_text"] == "负责销售 | 跟进客户。" and got[0]["requirements_text"] == "本科以上学历 | 两年经验" and got[0]["query_source"] == "duties"
     assert got[1]["sections_brief"].startswith("福利待遇") and got[2]["query_source"] == "duties"
     assert got[3]["query_source"] == got[4]["query_source"] == "none" and got[5]["query_source"] == "unclassified"
+
+
+def test_contained_terms_by_automaton_and_by_join(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "SQL与数据分析"), (1, "数据"), (2, None), (3, ""), (4, "分 析a"), (None, "数据")], "k int, t string")
+    terms = spark.createDataFrame([("数据",), ("数据分析",), ("sql",), ("a",), ("",), (None,), ("没有",)], "w string")
+    want = {(1, "数据"), (1, "数据分析"), (1, "sql"), (4, "a"), (None, "数据")}
+    assert {tuple(r) for r in skills.contained_terms(texts, "k", "t", terms, "w").collect()} == want
+    assert skills.contained_terms(texts, "k", "t", terms.limit(0), "w").count() == 0
+    monkeypatch.setattr(skills, "FEW", 2)
+    assert {tuple(r) for r in skills.contained_terms(texts, "k", "t", terms, "w").collect()} == want
