@@ -78,7 +78,7 @@ SELECT form, l AS len, k, i, substring(form, 1 + i * l div (k + 1) + s, (i + 1)
 FROM (SELECT form, l, k, i, explode(sequence(-k, k)) AS s
       FROM (SELECT form, l, k, explode(sequence(0, k)) AS i
             FROM (SELECT form, l, CASE WHEN l >= {long} THEN 2 ELSE 1 END AS k
-                  FROM (SELECT form, explode(sequence(greatest({short}, length(form) - 2), length(form) + 2)) AS l FROM {f} WHERE length(form) BETWEEN {short} - 1 AND (SELECT max(len) + 2 FROM {s})))
+                  FROM (SELECT form, explode(sequence(greatest({short}, length(form) - 2), length(form) + 2)) AS l FROM {f} WHERE length(form) >= {short} - 1))
             WHERE abs(l - length(form)) <= k))
 WHERE 1 + i * l div (k + 1) + s >= 1 AND 1 + i * l div (k + 1) + s <= length(form)
 """
@@ -102,9 +102,10 @@ def match(values: DataFrame, column: str, ref: DataFrame, short: int = SHORT, lo
     t, r = spellings(values, column), reference_forms(ref)
     exact = spark.sql(_EXACT, t=t, r=r)
     rest = t.join(exact.select("value"), "value", "left_anti")
-    f = rest.select("form").distinct()
     s = spark.sql(_SEGMENTS, r=r, long=long, short=short)
-    w = spark.sql(_WINDOWS, f=f, s=s, long=long, short=short)
+    # what is longer than the longest entry and its edits is near none
+    f = rest.select("form").distinct().filter(F.length("form") <= s.agg(F.max("len") + 2).scalar())
+    w = spark.sql(_WINDOWS, f=f, long=long, short=short)
     near = rest.join(spark.sql(_NEAR, w=w, s=s), "form").select("value", "code", "d", "swapped")
     hits = exact.select("value", "code", "d", F.lit(True).alias("swapped")).unionByName(near)
     best = spark.sql(_BEST, m=hits)
