@@ -31,6 +31,7 @@ from grainmill.sources.shared import cut
 
 LIMIT, OVERLAP = 1024, 64
 RANGE, HALO = 49_152, 2_048
+FILE_RANGE = 16_384  #: Of files: a reader's batch of 4,096 ranges' boundary tables stays at some 100 MB.
 CHUNK = 96  #: Most bytes between forced cuts inside a word.
 GRAIN = 16
 SEGMENT = 1 << 18  #: Tokens of a segment, about; more than twice a range can hold a range over.
@@ -344,6 +345,8 @@ def _stitched(table: DataFrame, ids: list[str], limit: int, overlap: int, segmen
             e = border(own)
             pos, ch, cum, lev, fo = pos[: e + 1], ch[: e + 1], cum[: e + 1], lev[:e], fo[:e]
         ss = _spans(pos, ch, cum, lev, fo, limit, overlap, start)
+        if not final and len(ss) > 1 and ss[-1][1] + ss[-1][2] >= ch[max(0, int(np.searchsorted(cum, cum[-1] - overlap, side="right")) - 1)]:
+            ss.pop()  # no more than the overlap: the next segment's first piece holds it
         if ahead is not None:
             x, xc, a, p, b, tok, f = ss[0]
             back = max(0, int(np.searchsorted(cum, cum[start] - limit, side="right")) - 1)
@@ -430,7 +433,7 @@ def _read(path: str, at: int, n: int) -> bytes:
         return f.read(n)
 
 
-def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, ranks: str | None = None, width: int = RANGE, segment: int = SEGMENT) -> DataFrame:
+def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, ranks: str | None = None, width: int = FILE_RANGE, segment: int = SEGMENT) -> DataFrame:
     """path, piece, n_pieces, from_char, to_char, tokens, piece_text of UTF-8 files of any size.  ``paths``: URIs of files that every executor reaches.
 
     The driver asks for the files' lengths alone; workers read ranges and pieces by their offsets.
