@@ -191,6 +191,53 @@ def test_overlap_with_clauses_shuffled(spark):
     assert got == {(i, k + i) for i in range(20) for k in (100, 200, 300)} | {(50, 150)}
 
 
+def test_overlap_scans_and_looks_up_repeated_pieces_once(monkeypatch, tmp_path):
+    rnd = random.Random(4)
+    pool = ["".join(chr(rnd.randint(0x4E00, 0x9000)) for _ in range(rnd.randint(3, 12))) for _ in range(40)]
+    texts = ["；".join(rnd.sample(pool, 9)) for _ in range(400)] + ["；".join(pool * 3), "ΟΔΟΣ'α, ﬁne_x\n" * 9, "甲乙" * 30, "，"]
+    ev = ["。".join(rnd.sample(pool, 9)) for _ in range(150)] + ["甲乙" * 31, "；".join(pool[::-1] * 3), "—" * 50, "οδοσ α fine x " * 9]
+    (tmp_path / "shard").write_bytes(overlap.compile_shard(list(range(len(ev))), ev))
+    m = automaton.load(f"file://{tmp_path}/shard")
+    assert all("".join(overlap.plain_clauses(t)) == overlap.normal(t) for t in texts + ev)
+    plain = [overlap.normal(t) for t in texts]
+    pieces, each = overlap._pieces(["\n".join(overlap.plain_clauses(t)) for t in texts])
+    scanned, scan = [], automaton.scan
+    monkeypatch.setattr(automaton, "scan", lambda m, t, *a: scanned.append(sum(map(len, t))) or scan(m, t, *a))
+    got = overlap.covered(m, plain, pieces, each)
+    assert scanned[0] < sum(map(len, plain)) / 2  # of texts that share pieces, these once
+    for name, n in (("ENTRIES", 0), ("ENTRIES", 2000), ("WORK", 1)):  # long texts, few texts and few places at once
+        with monkeypatch.context() as c:
+            c.setattr(overlap, name, n)
+            assert overlap.covered(m, plain, pieces, each) == got
+    grams = lambda t: {c[i : i + 5] for c in overlap.clauses(t) for i in range(max(1, len(c) - 4))}
+
+    def over(t, passages):
+        hit = [False] * len(t)
+        for p in passages:
+            for i in range(len(t) - len(p) + 1):
+                if t[i : i + len(p)] == p:
+                    hit[i : i + len(p)] = [True] * len(p)
+        return sum(hit)
+
+    def of(y, x):
+        n = 0
+        for c in overlap.clauses(y):
+            hit = [False] * len(c)
+            for i in range(max(1, len(c) - 4)):
+                if c[i : i + 5] in x:
+                    hit[i : i + 5] = [True] * len(c[i : i + 5])
+            n += sum(hit)
+        return n
+
+    want = set()
+    for i, x in enumerate(plain):
+        for j, y in enumerate(ev):
+            limit = overlap.WORDING * max(len(x), len(overlap.normal(y)))
+            if x and overlap.normal(y) and of(y, x) >= limit and over(x, grams(y)) >= limit:
+                want.add((i, j))
+    assert {(i, j) for i, j, _ in got} == want and len(want) > 20
+
+
 NAMES = [
     "深圳市鲸澜数驿科技有限公司", "深圳鲸澜数驿科技有限公司 ", "鲸澜数驿科技", "鲸澜·数驿", "鲸澜数驿(深圳)科技有限公司", "科技鲸澜数驿（深圳）", "深圳鲸数科技公司", "深圳市鲸蓝数驿科技有限公司", "深圳市鲸数澜驿科技集团有限公司",
     "深圳市鲸澜数驿食品有限公司", "广州市丰新琥一贸易有限公司", "廣州市丰新琥一贸易有限公可", "杭州市丰新琥一贸易有限公司", "Kinarove Foods (Hong Kong) Co., Ltd.", "KINAROVE FOODS (HONG KONG) CO., LTD.", "Kinarove Food.", "KinaroveFoods", "Foods Kinarove Ltd", "Kin arove Foods Co., Ltd.", "Knarove Foods (Hong Kong) Co., Ltd.", "保密", "某知名公司", "-", "nan", "", None,
